@@ -1,0 +1,105 @@
+"""The pN_ queries, over whole tables with production parameters."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafsift.llm import borda, encoding, mixing, splitting
+from leafsift.sources.tables import table
+
+FIELDS = ("conteudo_original", "conteudo_simplificado")
+
+
+# --- p1: one order from two scores ---------------------------------------------------------------
+
+
+def _ordered(spark: SparkSession, d: str) -> DataFrame:
+    api = table(spark, d, "api").where((F.size("scores") > 0) & (F.size("rerank_scores") > 0))
+    return borda.borda_order(api, missing="none")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    top = _ordered(spark, d).select("resp_id", F.get("ordem", F.lit(0))["id"].alias("id"), "recebido_em")
+    return top.groupBy("resp_id").agg(F.max_by("id", "recebido_em").alias("id"))
+
+
+def p1_order(spark: SparkSession, d: str) -> DataFrame:
+    """The whole combined order of the latest delivery, one row per item."""
+    api = _ordered(spark, d).select("resp_id", "ordem", "recebido_em")
+    last = api.groupBy("resp_id").agg(F.max_by("ordem", "recebido_em").alias("ordem"))
+    return last.select("resp_id", F.inline("ordem")).select("resp_id", "id", F.round("pontos", 6).alias("pontos"), "posicao")
+
+
+# --- p3: splitting -------------------------------------------------------------------------------
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """(bula_id, campo, texto) of every filled text; repeated deliveries are still there."""
+    b = table(spark, d, "bulas")
+    fields = F.array(*[F.struct(F.lit(c).alias("campo"), F.col(c).alias("texto")) for c in FIELDS])
+    return b.select("bula_id", F.inline(fields)).where(F.col("texto").isNotNull())
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    long = _texts(spark, d).where(F.length("texto") > splitting.LIMIT)
+    cut = splitting.with_cuts(long, "texto").where(F.size("cortes") > 1)
+    forced = F.exists("cortes", lambda c: c["forcado"])
+    return (
+        cut.select("bula_id", "campo", forced.alias("f"))
+        .groupBy("bula_id", "campo")
+        .agg(F.when(F.bool_or("f"), "forcado").otherwise("natural").alias("corte"))
+    )
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    pieces = splitting.split_texts(_texts(spark, d), "texto")
+    return pieces.dropDuplicates(["bula_id", "campo", "parte"])
+
+
+# --- p6: encoding --------------------------------------------------------------------------------
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.encode_corpus(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
+
+
+def p6_counts(spark: SparkSession, d: str) -> DataFrame:
+    docs = encoding.count_tokens(table(spark, d, "documents").select("doc_id", "source", "text"))
+    return docs.groupBy("source").agg(F.count("*").alias("documentos"), F.sum("n_tokens").alias("tokens"))
+
+
+# --- p7: mixing ----------------------------------------------------------------------------------
+
+
+def _counted(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.count_tokens(table(spark, d, "documents").select("doc_id", "source", "text")).drop("text")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    hist = mixing.counted_histogram(_counted(spark, d))
+    solved = mixing.balance(hist, mixing.plan_lines(table(spark, d, "plano_mistura")))
+    return solved.where("estado = 'inalcancavel'").select("plano_id", "source")
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = mixing.staged(_counted(spark, d), "contados")
+    solved = mixing.balance(
+        mixing.staged(mixing.token_histogram(docs), "histograma"), mixing.plan_lines(table(spark, d, "plano_mistura"))
+    )
+    return mixing.draw(docs, solved), solved
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    drawn, solved = _mixed(spark, d)
+    return mixing.shares(drawn, solved)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_order, p3_found, p3_pieces, p6_ids, p6_counts, p7_found, p7_mix, p7_shares)
+}
