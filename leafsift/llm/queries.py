@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafsift.llm import borda, encoding, mixing, splitting
+from leafsift.llm import borda, encoding, mixing, near_duplicates, splitting
 from leafsift.sources.tables import table
 
 FIELDS = ("conteudo_original", "conteudo_simplificado")
@@ -57,6 +57,23 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.dropDuplicates(["bula_id", "campo", "parte"])
 
 
+# --- p4: near-duplicates ------------------------------------------------------------------------
+
+
+def _similar(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    b = table(spark, d, "bulas").select("bula_id", "conteudo_original")
+    return near_duplicates.near_duplicate_pairs(b, "bula_id", "conteudo_original")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = near_duplicates.expand_pairs(*_similar(spark, d))
+    return pairs.select(F.col("a").alias("bula_id_a"), F.col("b").alias("bula_id_b"))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.groups(*_similar(spark, d)).withColumnRenamed("key", "bula_id")
+
+
 # --- p6: encoding --------------------------------------------------------------------------------
 
 
@@ -101,5 +118,5 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_order, p3_found, p3_pieces, p6_ids, p6_counts, p7_found, p7_mix, p7_shares)
+    for f in (p1_found, p1_order, p3_found, p3_pieces, p4_found, p4_groups, p6_ids, p6_counts, p7_found, p7_mix, p7_shares)
 }
