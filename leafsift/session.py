@@ -115,3 +115,15 @@ def ship(spark: SparkSession) -> None:
 def _clean() -> None:
     for d in _OWN_DIRS:
         shutil.rmtree(d, ignore_errors=True)
+
+
+def forget(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of stages whose results are already staged.
+
+    The cleaner acts when the driver collects its garbage, which on an idle driver is half an hour
+    away; a chain of staged steps would hold all of its shuffles on the executors' disks meanwhile.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
