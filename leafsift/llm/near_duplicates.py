@@ -1,7 +1,9 @@
 """Near-duplicate texts by bottom-k sketches from one hash function.
 
 1. Texts are folded to words. Texts with the same words are one class, stood for by its least key.
-2. Every class keeps the ``k`` smallest hashes of its runs of five words (the sketch).
+2. Every class keeps the ``k`` smallest hashes of its runs of five words, and the smallest hashes of
+   ``LINKS`` neighbours in the order of all its hashes (the sketch, its values from one function).
+   The chains find texts made of common phrases only, such as one leaflet under two drug names.
 3. Inverted lists of retained values generate overlaps. A list of at most ``list_limit`` classes
    gives its pairs; counting a pair over all lists gives its overlap in the part of the sketches
    that is not common property, and overlap over union of that part estimates the resemblance
@@ -9,7 +11,8 @@
 4. Longer lists hold values that are common property of the corpus. They are never turned into
    pairs as they are: classes that keep fewer than ``least_rare`` values in short lists are taken as
    a corpus of their own, sketched by their common values only, and listed again, among themselves,
-   where the lists are shorter; and so on. What can't be made rarer (masses of copies of one
+   where the lists are shorter; and so on. Among common values an edit no longer brings in values of
+   its own, so ``common_estimate`` holds there. What can't be made rarer (masses of copies of one
    boilerplate text) is compared block against block by whole sketches. So no list is capped, and
    no task holds more than ``list_limit`` classes or two blocks.
 5. The exact Jaccard similarity of the runs of three words verifies every pair that is left.
@@ -28,10 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafsift.llm.shingles import jaccard, shingle_hashes, word_hashes, words
+from leafsift.llm.shingles import chains, jaccard, many
 from leafsift.session import forget, ship, spread, staged
 
-K, LIST_LIMIT, LEAST_RARE, LEAST_ESTIMATE, LEVELS, BLOCK = 64, 48, 12, 0.09, 8, 512
+K, CHAINS, LINKS = 40, 48, 3
+LIST_LIMIT, LEAST_RARE, LEAST_ESTIMATE, COMMON_ESTIMATE, LEVELS, BLOCK, FEW = 48, 8, 0.09, 0.2, 8, 256, 10_000
 SKETCH_RUN, EXACT_RUN = 5, 3
 
 
@@ -40,22 +44,13 @@ def filled(c: Column) -> Column:
     return c.isNotNull() & (bare != "") & (bare != "NA")
 
 
-def _signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
-
-
 def _sketches(k: int):
     @F.arrow_udf("struct<fp:binary,sk:array<bigint>>")
     def sketch(texts: pa.Array) -> pa.Array:
         fps, parts = [], []
-        for t in texts.to_pylist():
-            ws = words(t) if t else []
-            if not ws:
-                fps.append(None)
-                parts.append(np.empty(0, np.int64))
-                continue
-            fps.append(xxhash.xxh128_digest(" ".join(ws)))
-            parts.append(_signed(shingle_hashes(word_hashes(ws), SKETCH_RUN)[:k]))
+        for h, runs in many(texts.to_pylist(), SKETCH_RUN):
+            fps.append(xxhash.xxh128_digest(h.tobytes()) if len(h) else None)
+            parts.append(np.concatenate([runs[:k], chains(runs, LINKS)[:CHAINS]]).view(np.int64))
         ends = np.zeros(len(parts) + 1, dtype=np.int32)
         np.cumsum([len(p) for p in parts], out=ends[1:])
         flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
@@ -65,48 +60,35 @@ def _sketches(k: int):
     return sketch
 
 
-def _fingerprints():
-    @F.arrow_udf("binary")
-    def fingerprint(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts.to_pylist():
-            ws = words(t) if t else []
-            out.append(xxhash.xxh128_digest(" ".join(ws)) if ws else None)
-        return pa.array(out, pa.binary())
-
-    return fingerprint
-
-
-def _verify(threshold_run: int):
+def _verify(run: int):
     @F.arrow_udf("double")
     def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
-        held: dict[str, np.ndarray] = {}
-
-        def runs(t: str) -> np.ndarray:
-            if t not in held:
-                if len(held) > 2000:
-                    held.clear()
-                held[t] = shingle_hashes(word_hashes(words(t)), threshold_run)
-            return held[t]
-
-        return pa.array([jaccard(runs(x), runs(y)) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+        out, n = [], 500  # pairs at once; a text that recurs among them is cut once
+        for at in range(0, len(a), n):
+            x, y = a.slice(at, n).to_pylist(), b.slice(at, n).to_pylist()
+            place = {t: i for i, t in enumerate(dict.fromkeys(x + y))}
+            runs = [r for _, r in many(list(place), run)]
+            out += [jaccard(runs[place[p]], runs[place[q]]) for p, q in zip(x, y)]
+        return pa.array(out, pa.float64())
 
     return similarity
 
 
-def classes(df: DataFrame, key: str, text: str, k: int = K) -> DataFrame:
-    """(fp, doc, sk): one row per distinct word sequence; ``doc`` is the least key that has it."""
+def sketched(df: DataFrame, key: str, text: str, k: int = K) -> DataFrame:
+    """(key, fp, sk) of every row with words: the digest of its words and its sketch."""
     ship(df.sparkSession)
     d = spread(df.select(F.col(key).alias("key"), F.col(text).alias("t")).where(filled(F.col("t"))))
-    d = d.select("key", _sketches(k)("t").alias("s")).select("key", "s.fp", "s.sk").where("fp is not null")
-    return d.groupBy("fp").agg(F.min("key").alias("doc"), F.first("sk").alias("sk"))
+    return d.select("key", _sketches(k)("t").alias("s")).select("key", "s.fp", "s.sk").where("fp is not null")
+
+
+def classes(rows: DataFrame) -> DataFrame:
+    """(fp, doc, sk): one row per distinct word sequence; ``doc`` is the least key that has it."""
+    return rows.groupBy("fp").agg(F.min("key").alias("doc"), F.first("sk").alias("sk"))
 
 
-def members(df: DataFrame, key: str, text: str, table: DataFrame) -> DataFrame:
+def members(rows: DataFrame, table: DataFrame) -> DataFrame:
     """(key, doc): the class of every key with words."""
-    d = spread(df.select(F.col(key).alias("key"), F.col(text).alias("t")).where(filled(F.col("t"))))
-    d = d.select("key", _fingerprints()("t").alias("fp")).where("fp is not null").distinct()
-    return d.join(table.select("fp", "doc"), "fp").select("key", "doc").distinct()
+    return rows.select("key", "fp").distinct().join(table.select("fp", "doc"), "fp").select("key", "doc").distinct()
 
 
 def _listed(sk: DataFrame, limit: int) -> DataFrame:
@@ -169,6 +151,7 @@ def candidates(
     list_limit: int = LIST_LIMIT,
     least_rare: int = LEAST_RARE,
     least_estimate: float = LEAST_ESTIMATE,
+    common_estimate: float = COMMON_ESTIMATE,
 ) -> DataFrame:
     """Distinct (a, b), a < b, of classes whose sketches overlap enough."""
     spark = table.sparkSession
@@ -179,7 +162,8 @@ def candidates(
         rare = staged(
             short.select("h", F.explode("l").alias("doc")).groupBy("doc").agg(F.collect_list("h").alias("hs")), "raros"
         )
-        found.append(staged(_overlaps(rare, list_limit, least_estimate), "pares"))
+        least = common_estimate if level else least_estimate
+        found.append(staged(_overlaps(rare, list_limit, least), "pares"))
         hot = listed.where(F.size("l") > list_limit).select("h")
         poor = (
             sk.join(rare.select("doc", F.size("hs").alias("n")), "doc", "left")
@@ -196,8 +180,8 @@ def candidates(
         n = sk.count()
         if not n:
             break
-        if n <= BLOCK or level == LEVELS - 1 or (before is not None and n > 0.9 * before):
-            found.append(staged(_blocks(sk, n, least_estimate), "pares"))
+        if n <= FEW or level == LEVELS - 1 or (before is not None and n > 0.9 * before):
+            found.append(staged(_blocks(sk, n, common_estimate), "pares"))
             break
         before = n
     out = found[0]
@@ -220,10 +204,11 @@ def similar_classes(df: DataFrame, key: str, text: str, table: DataFrame, above:
 
 def near_duplicate_pairs(df: DataFrame, key: str, text: str, above: float = 0.5, k: int = K, **settings):
     """(pairs of classes, membership): links between different texts, and the class of every key."""
-    table = staged(classes(df, key, text, k), "classes")
+    rows = staged(sketched(df, key, text, k), "linhas")
+    table = staged(classes(rows), "classes")
     forget(df.sparkSession)
     links = staged(similar_classes(df, key, text, table, above, **settings), "elos")
-    return links, members(df, key, text, table)
+    return links, members(rows, table)
 
 
 def expand_pairs(links: DataFrame, member: DataFrame) -> DataFrame:
