@@ -40,8 +40,8 @@ SKETCH_RUN, EXACT_RUN = 5, 3
 
 
 def filled(c: Column) -> Column:
-    bare = F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
-    return c.isNotNull() & (bare != "") & (bare != "NA")
+    """Neither null nor empty, blank or NA within white space; both patterns stop at the first characters."""
+    return c.isNotNull() & c.rlike(r"(?U)[^\s\x1c-\x1f]") & ~c.rlike(r"(?U)\A[\s\x1c-\x1f]*NA[\s\x1c-\x1f]*\z")
 
 
 def _sketches(k: int):
