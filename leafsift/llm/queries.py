@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafsift.llm import borda, encoding, mixing, near_duplicates, splitting
+from leafsift.llm import borda, canonical, encoding, mixing, near_duplicates, splitting
 from leafsift.sources.tables import table
 
 FIELDS = ("conteudo_original", "conteudo_simplificado")
@@ -31,6 +31,40 @@ def p1_order(spark: SparkSession, d: str) -> DataFrame:
     return last.select("resp_id", F.inline("ordem")).select("resp_id", "id", F.round("pontos", 6).alias("pontos"), "posicao")
 
 
+# --- p2: mapping to lists ------------------------------------------------------------------------
+
+
+def _mapped(spark: SparkSession, d: str, campo: str) -> tuple[DataFrame, DataFrame]:
+    """((bula_id, valor) as delivered, mapping of the distinct values) of one field."""
+    b = table(spark, d, "bulas").select("bula_id", F.col(campo).alias("valor")).where("valor is not null")
+    if campo == "fabricante":
+        m = canonical.map_values(b, "valor", table(spark, d, "ref_fabricante"), "fab_id", "nome", "sigla", trade=True)
+    else:
+        m = canonical.map_values(b, "valor", table(spark, d, "ref_marca"), "marca_id", "nome")
+    return b, m
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for campo in ("fabricante", "nome_comercial"):
+        b, m = _mapped(spark, d, campo)
+        m = m.where("ref_id is not null and not exato").select("valor", "ref_id")
+        one = b.join(m, "valor").select("bula_id", F.lit(campo).alias("campo"), "ref_id").distinct()
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Report: values that mean no entry, with the rows that have them; ``vazio`` marks placeholders."""
+    out = None
+    for campo in ("fabricante", "nome_comercial"):
+        b, m = _mapped(spark, d, campo)
+        m = m.where("ref_id is null").select("valor", "vazio")
+        one = b.groupBy("valor").agg(F.count("*").alias("linhas")).join(m, "valor").select(F.lit(campo).alias("campo"), "valor", "vazio", "linhas")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # --- p3: splitting -------------------------------------------------------------------------------
 
 
@@ -118,5 +152,5 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_order, p3_found, p3_pieces, p4_found, p4_groups, p6_ids, p6_counts, p7_found, p7_mix, p7_shares)
+    for f in (p1_found, p1_order, p2_found, p2_unmatched, p3_found, p3_pieces, p4_found, p4_groups, p6_ids, p6_counts, p7_found, p7_mix, p7_shares)
 }
