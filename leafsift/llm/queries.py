@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafsift.llm import borda, canonical, encoding, mixing, near_duplicates, splitting
+from leafsift.llm import borda, canonical, encoding, mixing, near_duplicates, splitting, truncation
+from leafsift.session import spread, staged
 from leafsift.sources.tables import table
 
 FIELDS = ("conteudo_original", "conteudo_simplificado")
@@ -150,7 +151,22 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(drawn, solved)
 
 
+# --- p8: truncation ------------------------------------------------------------------------------
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.judged(spread(table(spark, d, "documents").select("doc_id", "text")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).where("cortado").select("doc_id").distinct()
+
+
+def p8_sources(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.by_source(table(spark, d, "documents").select("doc_id", "source"), _judged(spark, d))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_order, p2_found, p2_unmatched, p3_found, p3_pieces, p4_found, p4_groups, p6_ids, p6_counts, p7_found, p7_mix, p7_shares)
+    for f in (p1_found, p1_order, p2_found, p2_unmatched, p3_found, p3_pieces, p4_found, p4_groups, p6_ids, p6_counts, p7_found, p7_mix, p7_shares, p8_found, p8_sources)
 }
