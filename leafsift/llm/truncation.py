@@ -5,7 +5,7 @@ single marks. For every trigram of the corpus two numbers are counted: how often
 line and how often a line or text ends with it. The last trigram of each text is joined to them. A
 text is cut if its last trigram is frequent inside but almost never terminal. Where the trigram is
 too rare to tell, the context before its last token, then its last two tokens, then its last token
-decide in the same way. A text that breaks off within a word ends in a trigram that hardly occurs
+decide in the same way, and at last whether anything ends after its last token but one. A text that breaks off within a word ends in a trigram that hardly occurs
 while its continuations do; those are counted by the prefixes of the last token.
 
 Lines are counted by kind: items of lists, posts that use no punctuation at all, and all others.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from leafsift.session import staged
 
-LEAST_SEEN, MOST_TERMINAL, LEAST_CONTINUED, TIMES_CONTINUED = 8, 0.03, 5, 10
+LEAST_SEEN, MOST_TERMINAL, LEAST_CONTINUED, TIMES_CONTINUED = 8, 0.1, 5, 10
 
 # Accented Latin letters and their base letters, and UTF-8 letters read byte by byte.
 _ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ"
@@ -50,7 +50,7 @@ def _cleaned(text: str) -> str:
     c = f"CASE WHEN {c} RLIKE '[ÃÂâ][\\\\u0080-\\\\u00bf]' THEN {misread} ELSE {c} END"
     c = rf"regexp_replace({c}, '{_TAIL}', '')"
     c = rf"regexp_replace(translate({c}, '{_ACCENTED}', '{_PLAIN}'), '\\p{{M}}', '')"
-    c = rf"regexp_replace({c}, '\\p{{N}}+', '0')"
+    c = rf"regexp_replace({c}, '\\p{{N}}+(?:[.,]\\p{{N}}+)*', '0')"
     return rf"""regexp_replace({c}, '([.!?])[)\\]”"»’]+$', '$1')"""
 
 
@@ -58,9 +58,9 @@ TOKENS = """
 SELECT doc_id, ln = size(lines) - 1 AS last,
        CASE WHEN NOT t RLIKE '[.,;:!?]' THEN 'U'
             WHEN line RLIKE '^\\\\s*(?:[-*•–·]|0[.)]|[a-z][)])\\\\s' THEN 'L' ELSE 'P' END AS kind,
-       transform(regexp_extract_all(line, '\\\\p{L}+|0|[^\\\\s\\\\p{L}0]', 0),
+       transform(regexp_extract_all(line, '[\\\\p{L}0]+|[^\\\\s\\\\p{L}0]', 0),
                  x -> CASE WHEN length(x) > 1 AND x = upper(x) THEN x ELSE lower(x) END) AS a,
-       transform(regexp_extract_all(line, '\\\\p{L}+|0|[^\\\\s\\\\p{L}0]', 0),
+       transform(regexp_extract_all(line, '[\\\\p{L}0]+|[^\\\\s\\\\p{L}0]', 0),
                  x -> x = '0' OR (x = lower(x) AND x <> upper(x))) AS small
 FROM (SELECT doc_id, t, split(t, '[\\\\r\\\\n]+') AS lines FROM {texts}) LATERAL VIEW posexplode(lines) AS ln, line
 WHERE line RLIKE '\\\\S'
@@ -86,25 +86,28 @@ VERDICTS = """
 WITH es AS (SELECT DISTINCT kind, t1, t2, t3 FROM {endings}),
 ctx AS (SELECT kind, t1, t2, sum(n) AS nc, sum(e) AS ec FROM {trigrams} GROUP BY kind, t1, t2),
 bi AS (SELECT kind, t2, t3, sum(n) AS n2, sum(e) AS e2 FROM {trigrams} GROUP BY kind, t2, t3),
+after AS (SELECT kind, t2, sum(n) AS na, sum(e) AS ea FROM {trigrams} GROUP BY kind, t2),
 uni AS (SELECT kind, t3, sum(n) AS n1, sum(e) AS e1 FROM {trigrams} GROUP BY kind, t3),
 px2 AS (SELECT kind, t2, p, sum(px) AS px2 FROM {prefixes} GROUP BY kind, t2, p),
 px1 AS (SELECT kind, p, sum(px) AS px1 FROM {prefixes} GROUP BY kind, p)
 SELECT es.kind, es.t1, es.t2, es.t3,
   CASE
     WHEN es.t3 IN ('.', '!', '?') THEN es.t3 = '.' AND tri.n - tri.e >= 2 * {seen} AND tri.low >= 0.95 * (tri.n - tri.e)
-    WHEN px3.px >= {more} AND px3.px >= {times} * tri.n THEN true
-    WHEN tri.n > {seen} THEN tri.e - 1 <= {rare} * tri.n
+    WHEN px3.px >= {more} AND px3.px >= {times} * (tri.n - 1) THEN true
+    WHEN tri.n > {seen} THEN tri.e - 1 <= greatest(1, {rare} * tri.n)
     WHEN ctx.nc > {seen} AND ctx.ec - 1 >= 0.5 * (ctx.nc - 1) THEN false
-    WHEN es.t2 RLIKE '\\\\p{L}' AND px2.px2 >= {more} AND px2.px2 >= {times} * bi.n2 THEN true
-    WHEN bi.n2 > {seen} THEN bi.e2 - 1 <= {rare} * bi.n2
-    WHEN es.t2 RLIKE '\\\\p{L}' AND length(es.t3) > 2 AND px1.px1 >= {more} AND px1.px1 >= {times} * uni.n1 THEN true
-    WHEN uni.n1 > {seen} THEN uni.e1 - 1 <= {rare} * uni.n1
+    WHEN es.t2 RLIKE '[\\\\p{L},;:)]' AND px2.px2 >= {more} AND px2.px2 >= {times} * (bi.n2 - 1) THEN true
+    WHEN bi.n2 > {seen} THEN bi.e2 - 1 <= greatest(1, {rare} * bi.n2)
+    WHEN es.t2 RLIKE '[\\\\p{L},;:)]' AND px1.px1 >= {more} AND px1.px1 >= {times} * (uni.n1 - 1) THEN true
+    WHEN es.t3 <> '0' AND uni.n1 > {seen} THEN uni.e1 - 1 <= greatest(1, {rare} * uni.n1)
+    WHEN es.t2 RLIKE '\\\\p{L}' AND after.na > {seen} THEN after.ea - 1 <= {rare} * after.na
     ELSE false
   END AS cut
 FROM es
 JOIN {trigrams} tri ON tri.kind = es.kind AND tri.t1 = es.t1 AND tri.t2 = es.t2 AND tri.t3 = es.t3
 JOIN ctx ON ctx.kind = es.kind AND ctx.t1 = es.t1 AND ctx.t2 = es.t2
 JOIN bi ON bi.kind = es.kind AND bi.t2 = es.t2 AND bi.t3 = es.t3
+JOIN after ON after.kind = es.kind AND after.t2 = es.t2
 JOIN uni ON uni.kind = es.kind AND uni.t3 = es.t3
 LEFT JOIN {prefixes} px3 ON px3.kind = es.kind AND px3.t1 = es.t1 AND px3.t2 = es.t2 AND px3.p = es.t3
 LEFT JOIN px2 ON px2.kind = es.kind AND px2.t2 = es.t2 AND px2.p = es.t3
