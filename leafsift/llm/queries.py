@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafsift.llm import borda, canonical, encoding, mixing, near_duplicates, splitting, truncation
+from leafsift.llm import borda, canonical, encoding, mixing, near_duplicates, reading, splitting, truncation
 from leafsift.session import spread, staged
 from leafsift.sources.tables import table
 
@@ -109,6 +109,33 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.groups(*_similar(spark, d)).withColumnRenamed("key", "bula_id")
 
 
+# --- p5: reading level ---------------------------------------------------------------------------
+
+
+def _filled_texts(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "bulas").select("bula_id", "id", *FIELDS)
+    fields = F.array(*[F.struct(F.lit(c).alias("campo"), F.col(c).alias("texto")) for c in FIELDS])
+    return spread(b).select("bula_id", "id", F.inline(fields)).where(near_duplicates.filled(F.col("texto")))
+
+
+def _levels(spark: SparkSession, d: str):
+    keys = ["bula_id", "campo"]
+    sample = reading.training_sample(_filled_texts(spark, d), table(spark, d, "rotulos_leitura"), keys, "nivel", "id")
+    return reading.train(sample, keys)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    model, _ = _levels(spark, d)
+    got = reading.predicted(_filled_texts(spark, d).drop("id"), model, splitting.LIMIT)
+    got = got.dropDuplicates(["bula_id", "campo"])
+    return got.join(table(spark, d, "rotulos_leitura").select("bula_id", "campo"), ["bula_id", "campo"], "left_anti")
+
+
+def p5_validation(spark: SparkSession, d: str) -> DataFrame:
+    model, rows = _levels(spark, d)
+    return reading.report(rows, model, spark)
+
+
 # --- p6: encoding --------------------------------------------------------------------------------
 
 
@@ -168,5 +195,5 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_order, p2_found, p2_unmatched, p3_found, p3_pieces, p4_found, p4_groups, p6_ids, p6_counts, p7_found, p7_mix, p7_shares, p8_found, p8_sources)
+    for f in (p1_found, p1_order, p2_found, p2_unmatched, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p5_validation, p6_ids, p6_counts, p7_found, p7_mix, p7_shares, p8_found, p8_sources)
 }

@@ -47,6 +47,15 @@ def _boundaries(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def longest_stretch(text: str) -> int:
+    """Most characters between two consecutive boundaries (or an end) of the stripped text."""
+    at, most = 0, 0
+    body = text.strip()
+    for a, b, _ in _boundaries(body):
+        most, at = max(most, a - at), b
+    return max(most, len(body) - at)
+
+
 def _forced(text: str, a: int, b: int, most: int) -> list[int]:
     """Ends of the parts of a stretch without boundaries, by bisection at white space."""
     ends, todo = [], [(a, b)]
