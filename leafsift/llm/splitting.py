@@ -56,6 +56,19 @@ def longest_stretch(text: str) -> int:
     return max(most, len(body) - at)
 
 
+def unbroken(text: str, most: int) -> bool:
+    """Whether more than ``most`` characters lie between two consecutive boundaries.
+
+    Most texts are cleared by the commonest boundaries alone, which plain replacement finds.
+    """
+    if len(text) <= most:
+        return False
+    plain = text.replace("\r", "\n")
+    for mark in (". ", "! ", "? ", "; "):
+        plain = plain.replace(mark, mark[0] + "\n")
+    return max(map(len, plain.split("\n"))) > most and longest_stretch(text) > most
+
+
 def _forced(text: str, a: int, b: int, most: int) -> list[int]:
     """Ends of the parts of a stretch without boundaries, by bisection at white space."""
     ends, todo = [], [(a, b)]
