@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from leafsift.config import STOP_WORDS
 from leafsift.functions.text import byte_slice, words
 
 K1, B = 1.2, 0.75
+FEW_PHRASES = 2000
 # Which forms of a letter the highlighter treats alike.
 ALIKE = {"a": "aáàâãä", "e": "eéèêë", "i": "iíìîï", "o": "oóòôõö", "u": "uúùûü", "c": "cç", "n": "nñ"}
 
@@ -54,26 +57,36 @@ def search_all(queries: DataFrame, index: DataFrame, q: str = "q", limit: int |
     return ranked.where(F.col("posicao") <= limit) if limit else ranked
 
 
+def _runs(ws: str, n: int) -> Column:
+    """All runs of ``n`` consecutive words, joined by spaces."""
+    if n == 1:
+        return F.col(ws)
+    starts = F.sequence(F.lit(0), F.size(ws) - n)
+    return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(F.col(ws), i + k) for k in range(n)]))
+
+
 def phrases_in(docs: DataFrame, key: str, fields: Sequence[str], phrases: DataFrame) -> DataFrame:
     """(key, phrase): documents holding a phrase as consecutive words.
 
-    Runs of words as long as the phrases are joined to them, so no pair of document and phrase is
-    tried that doesn't match. ``phrases`` has phrase; lengths come from it and are few.
+    A list of up to ``FEW_PHRASES`` is one array that every document is searched for in its own row.
+    For longer lists the runs of words of each document, as long as the phrases are, are joined to
+    them. ``phrases`` has phrase.
     """
-    p = phrases.select("phrase", F.array_join(words(F.col("phrase")), " ").alias("run"), F.size(words(F.col("phrase"))).alias("n")).where("n > 0").distinct()
-    lengths = [r["n"] for r in p.select("n").distinct().orderBy("n").limit(20).collect()]
-    made = []
-    for f in fields:
-        ws = docs.select(F.col(key).alias("key"), words(F.col(f)).alias("ws"))
-        for n in lengths:
-            runs = F.transform(F.sequence(F.lit(0), F.size("ws") - n), lambda i, n=n: F.array_join(F.slice("ws", i + 1, n), " "))
-            made.append(ws.where(F.size("ws") >= n).select("key", F.explode(F.array_distinct(runs)).alias("run")))
-    if not made:
-        return docs.select(F.col(key).alias("key"), F.lit("").alias("phrase")).limit(0)
-    out = made[0]
-    for m in made[1:]:
-        out = out.unionByName(m)
-    return out.join(p.select("phrase", "run"), "run").select("key", "phrase").distinct()
+    p = phrases.select("phrase", F.array_join(words(F.col("phrase")), " ").alias("run"), F.size(words(F.col("phrase"))).alias("n"))
+    p = p.where("n > 0").distinct()
+    if p.limit(FEW_PHRASES + 1).count() <= FEW_PHRASES:
+        every = p.agg(F.array_sort(F.collect_list(F.struct("phrase", F.concat(F.lit(" "), "run", F.lit(" ")).alias("run")))).alias("__ps"))
+        spaced = [F.concat(F.lit(" "), F.array_join(words(F.col(f)), " "), F.lit(" ")).alias(f"__t{i}") for i, f in enumerate(fields)]
+        d = docs.select(F.col(key).alias("key"), *spaced).crossJoin(every)  # one row
+        held = lambda x: reduce(or_, [F.col(f"__t{i}").contains(x["run"]) for i in range(len(fields))])
+        return d.select("key", F.explode(F.transform(F.filter("__ps", held), lambda x: x["phrase"])).alias("phrase")).distinct()
+    made = None
+    for n in sorted(r["n"] for r in p.select("n").distinct().collect()):
+        for f in fields:
+            ws = docs.select(F.col(key).alias("key"), words(F.col(f)).alias("ws")).where(F.size("ws") >= n)
+            one = ws.select("key", F.explode(F.array_distinct(_runs("ws", n))).alias("run"))
+            made = one if made is None else made.unionByName(one)
+    return made.join(p.select("phrase", "run"), "run").select("key", "phrase").distinct()
 
 
 def search_synonyms(queries: DataFrame, docs: DataFrame, key: str, fields: Sequence[str], pairs: DataFrame, q: str = "q") -> DataFrame:
@@ -125,18 +138,24 @@ def positions(c: Column, terms: Sequence[str]) -> Column:
     return F.aggregate(zipped, begin, step, lambda acc: acc["out"])
 
 
+def _once(field: str, terms: Sequence[str]) -> Column:
+    """(campo, termo) of a field's matches, in their first written form."""
+    hits = F.transform(positions(F.col(field), terms), lambda p: byte_slice(F.col(field), p["start"], p["length"]))
+    once = F.aggregate(
+        F.filter(hits, lambda t: t != ""),
+        F.array().cast("array<string>"),
+        lambda acc, t: F.when(F.exists(acc, lambda o: F.lower(o) == F.lower(t)), acc).otherwise(F.concat(acc, F.array(t))),
+    )
+    named = F.transform(once, lambda t: F.struct(F.lit(field).alias("campo"), t.alias("termo")))
+    return F.coalesce(named, F.array().cast("array<struct<campo:string,termo:string>>"))
+
+
 def matched_terms(df: DataFrame, fields: Sequence[str], terms: Sequence[str]) -> DataFrame:
     """``df`` with ``termos_match``: (campo, termo) as written, each once without regard to case, first form kept;
     and ``trecho_match``: (campo, texto) of the first field with a match, cropped and highlighted."""
     lists, snippet = [], None
     for f in fields:
-        hits = F.transform(positions(F.col(f), terms), lambda p, f=f: byte_slice(F.col(f), p["start"], p["length"]))
-        once = F.aggregate(
-            F.filter(hits, lambda t: t != ""),
-            F.array().cast("array<string>"),
-            lambda acc, t: F.when(F.exists(acc, lambda o: F.lower(o) == F.lower(t)), acc).otherwise(F.concat(acc, F.array(t))),
-        )
-        lists.append(F.coalesce(F.transform(once, lambda t, f=f: F.struct(F.lit(f).alias("campo"), t.alias("termo"))), F.array()))
+        lists.append(_once(f, terms))
         text = highlight(crop(F.col(f), terms), terms)
         one = F.when(F.size(positions(F.col(f), terms)) > 0, F.struct(F.lit(f).alias("campo"), text.alias("texto")))
         snippet = one if snippet is None else F.coalesce(snippet, one)

@@ -40,7 +40,8 @@ def header_tags(raw: Column) -> Column:
 
 def tag(tags: Column, name: str) -> Column:
     """The last value of a tag, null if it is absent."""
-    return F.element_at(F.filter(tags, lambda t: t["name"] == name), -1)["value"]
+    found = F.filter(tags, lambda t: t["name"] == name)
+    return F.get(found, F.size(found) - 1)["value"]
 
 
 def parse_leaflets(df: DataFrame, raw: str = "value", fields: Sequence[str] = METADATA_FIELDS) -> DataFrame:
@@ -48,9 +49,7 @@ def parse_leaflets(df: DataFrame, raw: str = "value", fields: Sequence[str] = ME
     made = ("texto", *fields)
     keep = [c for c in df.columns if c not in made]
     d = df.select(*keep, body(F.col(raw)).alias("texto"), header_tags(F.col(raw)).alias("__tags"))
-    picked = [
-        or_na(F.when(F.size(F.filter("__tags", lambda t, f=f: t["name"] == f)) > 0, tag(F.col("__tags"), f))).alias(f) for f in fields
-    ]
+    picked = [or_na(tag(F.col("__tags"), f)).alias(f) for f in fields]
     return d.select(*keep, "texto", *picked)
 
 
