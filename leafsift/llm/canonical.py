@@ -6,8 +6,8 @@ ordered by the rarity of their pairs over both sides; two sets with Jaccard simi
 ``t`` share one of the first ``n - ceil(t n) + 1`` pairs of each, so only those prefixes are joined.
 The length and the positional filter drop what can't reach ``t``; the Jaccard similarity of the rest
 is computed exactly, and the best entry is kept if its core is also within ``most_edits`` (edit
-distance over the longer core), ties by fewer edits and then by the lesser id. An entry's
-abbreviation, written alone, means the entry.
+distance over the longer core) or beyond doubt by its similarity (words in another order), ties by
+fewer edits and then by the lesser id. An entry's abbreviation, written alone, means the entry.
 
 Defined results: null, empty and blank values, placeholders, and values without a letter mean no
 entry. A value written exactly as an entry means it, at similarity 1. Repeated rows count once.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from leafsift.llm.names import core, letters, placeholder
 from leafsift.session import ship
 
-LEAST_JACCARD, MOST_EDITS = 0.3, 0.42
+LEAST_JACCARD, MOST_EDITS, SURE_JACCARD = 0.3, 0.42, 0.6
 
 
 def _cores(trade: bool):
@@ -71,7 +71,7 @@ def similar_entries(values: DataFrame, entries: DataFrame, t: float = LEAST_JACC
     both = F.size(F.array_intersect(_grams(F.col("nucleo")), _grams(F.col("ref"))))
     scored = near.withColumn("jaccard", both / (F.col("n") + F.col("m") - both)).where(F.col("jaccard") >= t)
     scored = scored.withColumn("trocas", F.levenshtein("nucleo", "ref") / F.greatest(F.length("nucleo"), F.length("ref")))
-    scored = scored.where(F.col("trocas") <= most_edits)
+    scored = scored.where((F.col("trocas") <= most_edits) | (F.col("jaccard") >= SURE_JACCARD))
     ids = entries.where("nucleo is not null").groupBy("nucleo").agg(F.min("ref_id").alias("ref_id"))
     scored = scored.join(ids.withColumnRenamed("nucleo", "ref"), "ref")
     best = scored.groupBy("nucleo").agg(

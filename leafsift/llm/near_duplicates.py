@@ -15,7 +15,8 @@
    its own, so ``common_estimate`` holds there. What can't be made rarer (masses of copies of one
    boilerplate text) is compared block against block by whole sketches. So no list is capped, and
    no task holds more than ``list_limit`` classes or two blocks.
-5. The exact Jaccard similarity of the runs of three words verifies every pair that is left.
+5. The exact Jaccard similarity of the runs of three words verifies every pair that is left, and
+   then every pair that has a verified link to a common third.
 
 Defined results: null, blank, empty and ``NA`` texts, and texts without a word, are in no pair and
 in no group of more than one. Repeated rows of one key count once. Texts shorter than a run are one
@@ -190,10 +191,8 @@ def candidates(
     return out.distinct() if len(found) > 1 else out
 
 
-def similar_classes(df: DataFrame, key: str, text: str, table: DataFrame, above: float = 0.5, **settings) -> DataFrame:
-    """(a, b, jaccard) of classes whose runs of three words have Jaccard similarity > ``above``."""
-    cand = staged(candidates(table, **settings), "candidatos")
-    forget(df.sparkSession)
+def verified(df: DataFrame, key: str, text: str, cand: DataFrame, above: float) -> DataFrame:
+    """(a, b, jaccard) of the candidates whose runs of three words have Jaccard similarity > ``above``."""
     texts = df.select(F.col(key).alias("key"), F.col(text).alias("t")).where(filled(F.col("t")))
     pairs = cand.join(texts.select(F.col("key").alias("a"), F.col("t").alias("ta")), "a").join(
         texts.select(F.col("key").alias("b"), F.col("t").alias("tb")), "b"
@@ -202,12 +201,43 @@ def similar_classes(df: DataFrame, key: str, text: str, table: DataFrame, above:
     return sim.where(F.col("jaccard") > above).dropDuplicates(["a", "b"])
 
 
-def near_duplicate_pairs(df: DataFrame, key: str, text: str, above: float = 0.5, k: int = K, **settings):
+def _two_steps(links: DataFrame) -> DataFrame:
+    """(a, b) linked to a common class and not to each other."""
+    e = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    far = e.join(e.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").where("a < c").select("a", F.col("c").alias("b"))
+    return far.distinct().join(links, ["a", "b"], "left_anti")
+
+
+def similar_classes(
+    df: DataFrame, key: str, text: str, table: DataFrame, above: float = 0.5, close: bool = True, **settings
+) -> DataFrame:
+    """Links between classes. ``close`` also tries the pairs two links apart, until none is new, so that
+    every pair of a group is tried; groups as such don't need them."""
+    cand = staged(candidates(table, **settings), "candidatos")
+    forget(df.sparkSession)
+    links = staged(verified(df, key, text, cand, above), "elos")
+    tried = None
+    while close:
+        far = _two_steps(links)
+        if tried is not None:
+            far = far.join(tried, ["a", "b"], "left_anti")
+        far = staged(far, "distantes")
+        if far.isEmpty():
+            break
+        tried = far if tried is None else tried.unionByName(far)
+        more = staged(verified(df, key, text, far, above), "elos")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+    return links
+
+
+def near_duplicate_pairs(df: DataFrame, key: str, text: str, above: float = 0.5, k: int = K, close: bool = True, **settings):
     """(pairs of classes, membership): links between different texts, and the class of every key."""
     rows = staged(sketched(df, key, text, k), "linhas")
     table = staged(classes(rows), "classes")
     forget(df.sparkSession)
-    links = staged(similar_classes(df, key, text, table, above, **settings), "elos")
+    links = similar_classes(df, key, text, table, above, close, **settings)
     return links, members(rows, table)
 
 
@@ -245,7 +275,8 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
         forget(spark)
         if same:
             break
-    return e.groupBy("u").agg(F.min("v").alias("grupo")).select(F.col("u").alias("doc"), "grupo")
+    stars = e.groupBy("u").agg(F.min("v").alias("grupo")).select(F.col("u").alias("doc"), "grupo")
+    return stars.unionByName(stars.select(F.col("grupo").alias("doc"), "grupo").distinct())
 
 
 def groups(links: DataFrame, member: DataFrame) -> DataFrame:

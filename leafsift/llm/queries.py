@@ -95,18 +95,18 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
 # --- p4: near-duplicates ------------------------------------------------------------------------
 
 
-def _similar(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _similar(spark: SparkSession, d: str, close: bool) -> tuple[DataFrame, DataFrame]:
     b = table(spark, d, "bulas").select("bula_id", "conteudo_original")
-    return near_duplicates.near_duplicate_pairs(b, "bula_id", "conteudo_original")
+    return near_duplicates.near_duplicate_pairs(b, "bula_id", "conteudo_original", close=close)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = near_duplicates.expand_pairs(*_similar(spark, d))
+    pairs = near_duplicates.expand_pairs(*_similar(spark, d, True))
     return pairs.select(F.col("a").alias("bula_id_a"), F.col("b").alias("bula_id_b"))
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicates.groups(*_similar(spark, d)).withColumnRenamed("key", "bula_id")
+    return near_duplicates.groups(*_similar(spark, d, False)).withColumnRenamed("key", "bula_id")
 
 
 # --- p5: reading level ---------------------------------------------------------------------------

@@ -54,28 +54,31 @@ def _cleaned(text: str) -> str:
     return rf"""regexp_replace({c}, '([.!?])[)\\]”"»’]+$', '$1')"""
 
 
-TOKENS = """
-SELECT doc_id, ln = size(lines) - 1 AS last,
-       CASE WHEN NOT t RLIKE '[.,;:!?]' THEN 'U'
-            WHEN line RLIKE '^\\\\s*(?:[-*•–·]|0[.)]|[a-z][)])\\\\s' THEN 'L' ELSE 'P' END AS kind,
-       transform(regexp_extract_all(line, '[\\\\p{L}0]+|[^\\\\s\\\\p{L}0]', 0),
-                 x -> CASE WHEN length(x) > 1 AND x = upper(x) THEN x ELSE lower(x) END) AS a,
-       transform(regexp_extract_all(line, '[\\\\p{L}0]+|[^\\\\s\\\\p{L}0]', 0),
-                 x -> x = '0' OR (x = lower(x) AND x <> upper(x))) AS small
-FROM (SELECT doc_id, t, split(t, '[\\\\r\\\\n]+') AS lines FROM {texts}) LATERAL VIEW posexplode(lines) AS ln, line
-WHERE line RLIKE '\\\\S'
+_LINES = """
+SELECT doc_id, CASE WHEN NOT t RLIKE '[.,;:!?]' THEN 'U'
+                    WHEN line RLIKE '^\\\\s*(?:[-*•–·]|0[.)]|[a-z][)])\\\\s' THEN 'L' ELSE 'P' END AS kind,
+       regexp_extract_all(line, '[\\\\p{L}0]+|[^\\\\s\\\\p{L}0]', 0) AS a
 """
-TRIGRAMS = """
-SELECT kind, t1, t2, t3, count(*) AS n, sum(CAST(ends AS int)) AS e, sum(CAST(goes_on AS int)) AS low
-FROM (SELECT kind, inline(transform(sequence(0, size(a) - 1), i -> named_struct(
-               't1', coalesce(get(a, i - 2), '^'), 't2', coalesce(get(a, i - 1), '^'), 't3', a[i],
-               'ends', i = size(a) - 1, 'goes_on', coalesce(get(small, i + 1), false))))
-      FROM {tokens} WHERE size(a) > 0)
-GROUP BY kind, t1, t2, t3
+LINES = _LINES + "FROM {texts} LATERAL VIEW explode(split(t, '[\\\\r\\\\n]+')) AS line"
+LAST_LINES = _LINES + "FROM (SELECT doc_id, t, element_at(split(t, '[\\\\r\\\\n]+'), -1) AS line FROM {texts})"
+# A token as it is counted: words in small letters unless written in capitals.
+_WORD = "CASE WHEN length({x}) > 1 AND {x} = upper({x}) THEN {x} ELSE lower({x}) END"
+TRIGRAMS = f"""
+SELECT kind, {_WORD.replace('{x}', 't1')} AS t1, {_WORD.replace('{x}', 't2')} AS t2, {_WORD.replace('{x}', 't3')} AS t3,
+       sum(n) AS n, sum(e) AS e, sum(low) AS low
+FROM (SELECT kind, t1, t2, t3, count(*) AS n, count_if(ends) AS e,
+             count_if(t3 = '.' AND (next = '0' OR (next = lower(next) AND next <> upper(next)))) AS low
+      FROM (SELECT kind, inline(transform(sequence(0, size(a) - 1), i -> named_struct(
+                     't1', coalesce(get(a, i - 2), '^'), 't2', coalesce(get(a, i - 1), '^'), 't3', a[i],
+                     'ends', i = size(a) - 1, 'next', get(a, i + 1))))
+            FROM {{lines}} WHERE size(a) > 0)
+      GROUP BY kind, t1, t2, t3)
+GROUP BY 1, 2, 3, 4
 """
-ENDINGS = """
-SELECT doc_id, kind, coalesce(get(a, size(a) - 3), '^') AS t1, coalesce(get(a, size(a) - 2), '^') AS t2, a[size(a) - 1] AS t3
-FROM {tokens} WHERE last AND size(a) > 0
+ENDINGS = f"""
+SELECT doc_id, kind, {_WORD.replace('{x}', 't1')} AS t1, {_WORD.replace('{x}', 't2')} AS t2, {_WORD.replace('{x}', 't3')} AS t3
+FROM (SELECT doc_id, kind, coalesce(get(a, size(a) - 3), '^') AS t1, coalesce(get(a, size(a) - 2), '^') AS t2, a[size(a) - 1] AS t3
+      FROM {{last_lines}} WHERE size(a) > 0)
 """
 PREFIXES = """
 SELECT kind, t1, t2, p, sum(n) AS px
@@ -137,7 +140,8 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     view("docs", docs.select(docs[key].alias("doc_id"), docs[text].alias("text")))
     view("texts", sql(f"SELECT doc_id, {_cleaned('text')} AS t FROM {{docs}} WHERE text IS NOT NULL"))
-    view("tokens", sql(TOKENS))
+    view("lines", sql(LINES))
+    view("last_lines", sql(LAST_LINES))
     view("trigrams", staged(sql(TRIGRAMS), "trigramas"))
     view("endings", staged(sql(ENDINGS), "finais"))
     view("prefixes", sql(PREFIXES))
