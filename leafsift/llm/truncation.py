@@ -41,18 +41,28 @@ _MISREAD = (
 _TAIL = r"(?:\\s|</[A-Za-z]*>?|\\.{3,}|…|[\\[(]\\s*(?:\\.{2,}|…)\\s*[\\])]?|\\ufffd|[ÃÂ]|\\u00e2\\u0080?|\\p{M})+$"
 
 
-def _cleaned(text: str) -> str:
-    """SQL of the text as it is judged: hidden characters, accents and what follows a cut removed."""
-    c = rf"regexp_replace({text}, '[\\u200b-\\u200f\\u2060\\ufeff\\u00ad]', '')"
-    misread = c
-    for pattern, letter in _MISREAD:
-        misread = f"regexp_replace({misread}, '{pattern}', '{letter}')"
-    c = f"CASE WHEN {c} RLIKE '[ÃÂâ][\\\\u0080-\\\\u00bf]' THEN {misread} ELSE {c} END"
-    c = rf"regexp_replace({c}, '{_TAIL}', '')"
-    c = rf"regexp_replace(translate({c}, '{_ACCENTED}', '{_PLAIN}'), '\\p{{M}}', '')"
-    c = rf"regexp_replace({c}, '\\p{{N}}+(?:[.,]\\p{{N}}+)*', '0')"
-    return rf"""regexp_replace({c}, '([.!?])[)\\]”"»’]+$', '$1')"""
+_HIDDEN = "\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u00ad"
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
+
 
+def _mended() -> str:
+    out = "t"
+    for pattern, letter in _MISREAD:
+        out = f"regexp_replace({out}, '{pattern}', '{letter}')"
+    return f"CASE WHEN t RLIKE '[ÃÂâ][\\\\u0080-\\\\u00bf]' THEN {out} ELSE t END"
+
+
+# The text as it is judged, in layers so that no step is computed twice: without hidden characters,
+# misread letters put right, without what follows a cut, accents and forms of numbers left out.
+TEXTS = (
+    f"SELECT doc_id, translate(text, '{_HIDDEN}', '') AS t FROM {{docs}} WHERE text IS NOT NULL",
+    f"SELECT doc_id, {_mended()} AS t FROM {{layer}}",
+    # only texts whose last two characters can be such a tail are searched for it
+    rf"SELECT doc_id, CASE WHEN right(t, 2) RLIKE '(?:[^\\p{{L}}\\p{{N}}.!?]|\\.\\.|[ÃÂ]|\\p{{M}})$' "
+    f"THEN regexp_replace(t, '{_TAIL}', '') ELSE t END AS t FROM {{layer}}",
+    f"SELECT doc_id, regexp_replace(regexp_replace(translate(t, '{_ACCENTED}{_MARKS}', '{_PLAIN}'), "
+    r"""'\\p{N}+(?:[.,]\\p{N}+)*', '0'), '([.!?])[)\\]”"»’]+$', '$1') AS t FROM {layer}""",
+)
 
 _LINES = """
 SELECT doc_id, CASE WHEN NOT t RLIKE '[.,;:!?]' THEN 'U'
@@ -139,7 +149,9 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         return spark.sql(query)
 
     view("docs", docs.select(docs[key].alias("doc_id"), docs[text].alias("text")))
-    view("texts", sql(f"SELECT doc_id, {_cleaned('text')} AS t FROM {{docs}} WHERE text IS NOT NULL"))
+    for layer in TEXTS:
+        view("layer", sql(layer))
+    held["texts"] = held["layer"]
     view("lines", sql(LINES))
     view("last_lines", sql(LAST_LINES))
     view("trigrams", staged(sql(TRIGRAMS), "trigramas"))
