@@ -90,4 +90,5 @@ def short(c: Column, n: int = 150) -> Column:
 
 
 def four_decimals(c: Column) -> Column:
-    return F.format_string("%.4f", c)
+    """Four decimals; a null stays null, where the format alone would write the word."""
+    return F.when(c.isNotNull(), F.format_string("%.4f", c))

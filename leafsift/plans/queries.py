@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafsift.config import CORPUS_TYPES, Settings
 from leafsift.functions import text as tx
 from leafsift.operators import index, lexical, models, parse, prep, synonyms, vector
-from leafsift.session import spread
+from leafsift.session import spread, staged
 from leafsift.sources.files import latest_by
 from leafsift.sources.tables import table
 
@@ -87,7 +87,7 @@ LEX_FIELDS = ("nome", "conteudo_original", "conteudo_simplificado")
 
 def q07_lex_all(spark: SparkSession, d: str) -> DataFrame:
     b = _bulas(spark, d)
-    ix = lexical.postings(b, "bula_id", LEX_FIELDS)
+    ix = staged(lexical.postings(b, "bula_id", LEX_FIELDS), "indice")  # read for lengths, frequencies and hits
     got = lexical.search_all(table(spark, d, "synonyms"), ix, "term", limit=10)
     return got.select("q", F.col("key").alias("bula_id"), "score", "posicao")
 

@@ -55,3 +55,15 @@ def test_answer(engine):
 def test_empty_index(spark, engine):
     e = search.Engine(engine.documents.limit(0), engine.chunks.limit(0), engine.groups)
     assert e.semantic_lane("x", 1).count() == 0 and e.lexical_lane("x", 1).count() == 0
+
+
+def test_http(engine):
+    from leafsift.server import answer
+
+    assert answer(engine, "/health") == (200, {"status": "ok"})
+    assert answer(engine, "/x")[0] == 404
+    for bad in ("/buscar", "/buscar?q=a&n=0", "/buscar?q=a&n=x", "/buscar?q=a&min_score=2"):
+        assert answer(engine, bad)[0] == 422
+    status, body = answer(engine, "/buscar?q=cefaleia&n=2&min_score=0.1")
+    assert status == 200 and body["sinonimos"] == ["dor de cabeça"]
+    assert body["lexica"][0]["id"] == "a_2" and body["semantica"]["id"][0] == "a_2"
