@@ -53,14 +53,14 @@ class CorpusType:
     simplified_suffix: str
 
 
-# The two corpora.
+# The two corpora under a root folder; other layouts are other CorpusType values. The endings are fixed values.
 CORPUS_TYPES = (
     CorpusType(
-        "hipertensao", "remedios_ht_map.csv", "csv_metadata/ht/original", "csv_metadata/ht/simplificada",
+        "hipertensao", "mapa_hipertensao.csv", "hipertensao/original", "hipertensao/simplificada",
         "_original_limpo.txt", "_validada_limpo.txt",
     ),
     CorpusType(
-        "oncologia", "remedios_onco_map.csv", "csv_metadata/onco/original", "csv_metadata/onco/simplificada",
+        "oncologia", "mapa_oncologia.csv", "oncologia/original", "oncologia/simplificada",
         "_original_limpo.txt", "_simplificada_limpo.txt",
     ),
 )

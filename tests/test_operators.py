@@ -54,7 +54,7 @@ def test_file_names(spark):
 
 
 def test_corpus_of_files(spark, tmp_path):
-    (tmp_path / "remedios_onco_map.csv").write_text("id,nome\n7,velho\n7,sete \n8,oito\n,nada\n", encoding="utf-8")
+    (tmp_path / ONCO.map_csv).write_text("id,nome\n7,velho\n7,sete \n8,oito\n,nada\n", encoding="utf-8")
     for folder, name, text in (
         (ONCO.original_dir, "7_original_limpo.txt", "<metadata><doenca>d</doenca></metadata><text>o</text>"),
         (ONCO.simplified_dir, "7_simplificada_limpo.txt", "<text>s</text>"),
