@@ -17,6 +17,11 @@
    no task holds more than ``list_limit`` classes or two blocks.
 5. The exact Jaccard similarity of the runs of three words verifies every pair that is left, and
    then every pair that has a verified link to a common third.
+6. A list can also be long because of one large group, such as two revisions of a leaflet in many
+   copies each. So linked classes are taken as one unit, and the long lists are listed again by
+   units (step 3), where a value that only one unit has is nobody's rare value; units that stay poor
+   go on as in step 4. Every pair of classes of two units that overlap enough is verified, and so on
+   until no unit grows.
 
 Defined results: null, blank, empty and ``NA`` texts, and texts without a word, are in no pair and
 in no group of more than one. Repeated rows of one key count once. Texts shorter than a run are one
@@ -106,7 +111,8 @@ def _listed(sk: DataFrame, limit: int) -> DataFrame:
 
 def _overlaps(rare: DataFrame, limit: int, least: float) -> DataFrame:
     """(a, b) whose estimated resemblance over the rare part reaches ``least``."""
-    items = rare.select(F.struct("doc", F.size("hs").cast("int").alias("n")).alias("x"), F.explode("hs").alias("h"))
+    n = F.size("hs") if "m" not in rare.columns else F.least(F.size("hs"), "m")  # m: of a unit's least sketch
+    items = rare.select(F.struct("doc", n.cast("int").alias("n")).alias("x"), F.explode("hs").alias("h"))
     lists = items.groupBy("h").agg(F.collect_list("x").alias("l"))  # at most ``limit`` items
     one = lists.select("l", F.posexplode("l").alias("i", "x"))
     two = one.select("x", F.explode(F.slice("l", F.col("i") + 2, F.lit(limit))).alias("y"))
@@ -147,42 +153,46 @@ def _blocks(sk: DataFrame, n: int, least: float) -> DataFrame:
     return d.groupBy("i", "j").applyInPandas(compare, f"a {key_type}, b {key_type}")
 
 
-def candidates(
-    table: DataFrame,
-    list_limit: int = LIST_LIMIT,
-    least_rare: int = LEAST_RARE,
-    least_estimate: float = LEAST_ESTIMATE,
-    common_estimate: float = COMMON_ESTIMATE,
+def _through_levels(
+    sk: DataFrame, list_limit: int, least_rare: int, least: float, common_estimate: float, listed: DataFrame | None = None,
+    rare_before: DataFrame | None = None,
 ) -> DataFrame:
-    """Distinct (a, b), a < b, of classes whose sketches overlap enough."""
-    spark = table.sparkSession
-    sk, found, before = table.select("doc", "sk"), [], None
+    """(a, b) of rows (doc, sk) by their short lists, then of the poor ones by their long lists, at last by blocks.
+
+    ``rare_before``, (doc, r): values that count as rare besides those in short lists of ``sk``. A column
+    ``m`` of ``sk`` is the size that an estimate and the least share of common values go by.
+    """
+    spark, found, before = sk.sparkSession, [], None
+    if "m" not in sk.columns:
+        sk = sk.withColumn("m", F.size("sk"))
     for level in range(LEVELS):
-        listed = staged(_listed(sk, list_limit).where(F.size("l") > 1), "listas")
+        if level or listed is None:
+            listed = staged(_listed(sk, list_limit).where(F.size("l") > 1), "listas")
         short = listed.where(F.size("l") <= list_limit)
-        rare = staged(
-            short.select("h", F.explode("l").alias("doc")).groupBy("doc").agg(F.collect_list("h").alias("hs")), "raros"
-        )
-        least = common_estimate if level else least_estimate
-        found.append(staged(_overlaps(rare, list_limit, least), "pares"))
+        rare = short.select("h", F.explode("l").alias("doc")).groupBy("doc").agg(F.collect_list("h").alias("hs"))
+        rare = staged(rare.join(sk.select("doc", "m"), "doc") if rare_before is not None else rare, "raros")
+        found.append(staged(_overlaps(rare, list_limit, common_estimate if level else least), "pares"))
         hot = listed.where(F.size("l") > list_limit).select("h")
+        n = F.coalesce("n", F.lit(0))
+        counted = sk.join(rare.select("doc", F.size("hs").alias("n")), "doc", "left")
+        if rare_before is not None and not level:
+            counted, n = counted.join(rare_before, "doc", "left"), n + F.coalesce("r", F.lit(0))
         poor = (
-            sk.join(rare.select("doc", F.size("hs").alias("n")), "doc", "left")
-            .where(F.coalesce("n", F.lit(0)) < least_rare)
-            .select("doc", F.size("sk").alias("m"), F.explode("sk").alias("h"))
+            counted.where(n < least_rare)
+            .select("doc", "m", F.explode("sk").alias("h"))
             .join(hot, "h", "left_semi")
             .groupBy("doc", "m")
             .agg(F.collect_list("h").alias("sk"))
             .where(F.size("sk") >= 0.15 * F.col("m"))  # fewer common values can't make a pair alone
-            .select("doc", "sk")
         )
-        sk = staged(poor, "comuns")
+        sk = poor if rare_before is not None else poor.select("doc", "sk", F.size("sk").alias("m"))
+        sk = staged(sk, "comuns")
         forget(spark)
         n = sk.count()
         if not n:
             break
         if n <= FEW or level == LEVELS - 1 or (before is not None and n > 0.9 * before):
-            found.append(staged(_blocks(sk, n, common_estimate), "pares"))
+            found.append(staged(_blocks(sk.select("doc", "sk"), n, common_estimate), "pares"))
             break
         before = n
     out = found[0]
@@ -191,6 +201,44 @@ def candidates(
     return out.distinct() if len(found) > 1 else out
 
 
+def candidates(
+    table: DataFrame,
+    list_limit: int = LIST_LIMIT,
+    least_rare: int = LEAST_RARE,
+    least_estimate: float = LEAST_ESTIMATE,
+    common_estimate: float = COMMON_ESTIMATE,
+    listed: DataFrame | None = None,
+) -> DataFrame:
+    """Distinct (a, b), a < b, of classes whose sketches overlap enough."""
+    return _through_levels(table.select("doc", "sk"), list_limit, least_rare, least_estimate, common_estimate, listed)
+
+
+def _between(
+    table: DataFrame,
+    links: DataFrame,
+    listed: DataFrame,
+    list_limit: int = LIST_LIMIT,
+    least_rare: int = LEAST_RARE,
+    least_estimate: float = LEAST_ESTIMATE,
+    common_estimate: float = COMMON_ESTIMATE,
+) -> DataFrame:
+    """(a, b), a < b, of classes in different units (components of ``links``) whose long lists overlap enough."""
+    own = staged(components(links.select("a", "b")).select("doc", F.col("grupo").alias("own")), "unidades")
+    # values in short lists: those of a unit count if another unit has them too
+    short = listed.where(F.size("l") <= list_limit)
+    each = short.select("h", F.size("l").alias("s"), F.explode("l").alias("doc")).join(own, "doc", "left")
+    each = each.select("h", "s", F.coalesce("own", "doc").alias("doc")).groupBy("h", "s", "doc").count().where("s > count")
+    r = staged(each.groupBy("doc").agg(F.count("*").alias("r")), "raros")
+    units = table.select("doc", F.size("sk").alias("m"), F.explode("sk").alias("h"))
+    units = units.join(listed.where(F.size("l") > list_limit).select("h"), "h", "left_semi").join(own, "doc", "left")
+    units = units.groupBy(F.coalesce("own", "doc").alias("doc")).agg(F.collect_set("h").alias("sk"), F.min("m").alias("m"))
+    pairs = _through_levels(staged(units, "unidades"), list_limit, least_rare, least_estimate, common_estimate, rare_before=r)
+    member = table.select("doc").join(own, "doc", "left").select("doc", F.coalesce("own", "doc").alias("own"))
+    x, y = member.select(F.col("own").alias("a"), F.col("doc").alias("x")), member.select(F.col("own").alias("b"), F.col("doc").alias("y"))
+    both = pairs.join(x, "a").join(y, "b")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def verified(df: DataFrame, key: str, text: str, cand: DataFrame, above: float) -> DataFrame:
     """(a, b, jaccard) of the candidates whose runs of three words have Jaccard similarity > ``above``."""
     texts = df.select(F.col(key).alias("key"), F.col(text).alias("t")).where(filled(F.col("t")))
@@ -208,27 +256,44 @@ def _two_steps(links: DataFrame) -> DataFrame:
     return far.distinct().join(links, ["a", "b"], "left_anti")
 
 
+def _closed(df: DataFrame, key: str, text: str, links: DataFrame, above: float, tried: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """(links, tried): also the pairs two links apart, until none is new."""
+    while True:
+        far = _two_steps(links)
+        if tried is not None:
+            far = far.join(tried, ["a", "b"], "left_anti")
+        far = staged(far, "distantes")
+        if far.isEmpty():
+            return links, tried
+        tried = far if tried is None else tried.unionByName(far)
+        more = staged(verified(df, key, text, far, above), "elos")
+        if more.isEmpty():
+            return links, tried
+        links = links.unionByName(more)
+
+
 def similar_classes(
     df: DataFrame, key: str, text: str, table: DataFrame, above: float = 0.5, close: bool = True, **settings
 ) -> DataFrame:
     """Links between classes. ``close`` also tries the pairs two links apart, until none is new, so that
     every pair of a group is tried; groups as such don't need them."""
-    cand = staged(candidates(table, **settings), "candidatos")
+    listed = staged(_listed(table.select("doc", "sk"), settings.get("list_limit", LIST_LIMIT)).where(F.size("l") > 1), "listas")
+    tried = cand = staged(candidates(table, listed=listed, **settings), "candidatos")
     forget(df.sparkSession)
     links = staged(verified(df, key, text, cand, above), "elos")
-    tried = None
-    while close:
-        far = _two_steps(links)
-        if tried is not None:
-            far = far.join(tried, ["a", "b"], "left_anti")
-        far = staged(far, "distantes")
-        if far.isEmpty():
+    far = None
+    while not links.isEmpty():
+        if close:
+            links, far = _closed(df, key, text, links, above, far)
+        done = tried if far is None else tried.unionByName(far)
+        cand = staged(_between(table, links, listed, **settings).join(done, ["a", "b"], "left_anti"), "candidatos")
+        forget(df.sparkSession)
+        if cand.isEmpty():
             break
-        tried = far if tried is None else tried.unionByName(far)
-        more = staged(verified(df, key, text, far, above), "elos")
+        more = staged(verified(df, key, text, cand, above), "elos")
         if more.isEmpty():
             break
-        links = links.unionByName(more)
+        links, tried = links.unionByName(more), tried.unionByName(cand)
     return links
 
 

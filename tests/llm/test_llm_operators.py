@@ -215,6 +215,25 @@ def test_near_duplicates_of_common_phrases(spark):
     assert len(grouped) == 131 and Counter(r["grupo"] for r in grouped)[0] == 130
 
 
+def test_near_duplicates_of_two_revisions(spark):
+    """What both revisions have is in longer lists than the limit, what each has alone in shorter ones."""
+    rng = random.Random(4)
+    first = [f"w{i}" for i in range(300)]
+    second = first[:225] + [f"z{i}" for i in range(75)]
+    data = []
+    for k in range(80):
+        t = list(first if k < 40 else second)
+        t[rng.randrange(300)] = f"x{k}"
+        data.append((k, " ".join(t)))
+    data += [(100 + k, " ".join(f"v{rng.randrange(400)}" for _ in range(300))) for k in range(20)]
+    df = spark.createDataFrame(data, "k long, t string")
+    want = _brute_pairs(data)
+    links, member = near_duplicates.near_duplicate_pairs(df, "k", "t")
+    assert {tuple(r) for r in near_duplicates.expand_pairs(links, member).select("a", "b").collect()} == want and len(want) == 3160
+    some, member = near_duplicates.near_duplicate_pairs(df, "k", "t", close=False)
+    assert Counter(r["grupo"] for r in near_duplicates.groups(some, member).collect())[0] == 80
+
+
 def test_near_duplicates_of_nothing(spark):
     links, member = near_duplicates.near_duplicate_pairs(spark.createDataFrame([], "k long, t string"), "k", "t")
     assert near_duplicates.expand_pairs(links, member).count() == 0
