@@ -13,6 +13,9 @@ Sentence marks at the end complete a text, unless the trigram before goes on in
 numbers wherever else it occurs (abbreviations). White space, closing tags, marks of a break
 (``...``, ``[...]``) and half characters after the cut are no part of the text.
 
+Evidence is counted over distinct texts, as they are judged, so that copies of one cut text don't
+vouch for each other.
+
 Defined results: null, empty and blank texts are not cut. Repeated rows are judged each by itself.
 An ending of which the corpus knows nothing is not cut. Other columns are not read, but for the
 source in ``by_source``, where null is a source of its own.
@@ -64,13 +67,14 @@ TEXTS = (
     r"""'\\p{N}+(?:[.,]\\p{N}+)*', '0'), '([.!?])[)\\]”"»’]+$', '$1') AS t FROM {layer}""",
 )
 
+DISTINCT_TEXTS = "SELECT DISTINCT t FROM {texts}"
 _LINES = """
-SELECT doc_id, CASE WHEN NOT t RLIKE '[.,;:!?]' THEN 'U'
+CASE WHEN NOT t RLIKE '[.,;:!?]' THEN 'U'
                     WHEN line RLIKE '^\\\\s*(?:[-*•–·]|0[.)]|[a-z][)])\\\\s' THEN 'L' ELSE 'P' END AS kind,
        regexp_extract_all(line, '[\\\\p{L}0]+|[^\\\\s\\\\p{L}0]', 0) AS a
 """
-LINES = _LINES + "FROM {texts} LATERAL VIEW explode(split(t, '[\\\\r\\\\n]+')) AS line"
-LAST_LINES = _LINES + "FROM (SELECT doc_id, t, element_at(split(t, '[\\\\r\\\\n]+'), -1) AS line FROM {texts})"
+LINES = "SELECT" + _LINES + "FROM {distinct_texts} LATERAL VIEW explode(split(t, '[\\\\r\\\\n]+')) AS line"
+LAST_LINES = "SELECT doc_id," + _LINES + "FROM (SELECT doc_id, t, element_at(split(t, '[\\\\r\\\\n]+'), -1) AS line FROM {texts})"
 # A token as it is counted: words in small letters unless written in capitals.
 _WORD = "CASE WHEN length({x}) > 1 AND {x} = upper({x}) THEN {x} ELSE lower({x}) END"
 TRIGRAMS = f"""
@@ -152,6 +156,7 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     for layer in TEXTS:
         view("layer", sql(layer))
     held["texts"] = held["layer"]
+    view("distinct_texts", sql(DISTINCT_TEXTS))
     view("lines", sql(LINES))
     view("last_lines", sql(LAST_LINES))
     view("trigrams", staged(sql(TRIGRAMS), "trigramas"))

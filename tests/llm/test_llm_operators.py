@@ -389,6 +389,16 @@ def test_cut_texts(spark):
     assert truncation.judged(df.limit(0).select("doc_id", "text")).count() == 0
 
 
+def test_copies_of_a_cut_text_do_not_vouch(spark):
+    rng = random.Random(9)
+    part = lambda: rng.choice(["O paciente", "A criança", "O idoso"]) + " deve tomar água durante " + rng.choice(["a viagem", "o banho", "a noite"])
+    data = [(i, ". ".join(part() for _ in range(4)) + f". Lote {chr(97 + i % 26)}{chr(97 + i // 26)} conferido.") for i in range(300)]
+    cut = "O idoso deve tomar água durante a noite. A criança deve tomar água durante"
+    data += [(1_000 + i, cut + rng.choice(["", "...", " \n"])) for i in range(1_000)]
+    got = truncation.judged(spark.createDataFrame(data, "doc_id long, text string"))
+    assert {r["doc_id"] for r in got.where("cortado").collect()} == set(range(1_000, 2_000))
+
+
 # --- whole tables --------------------------------------------------------------------------------
 
 
