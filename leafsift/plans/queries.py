@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafsift.config import CORPUS_TYPES, Settings
 from leafsift.functions import text as tx
 from leafsift.operators import index, lexical, models, parse, prep, synonyms, vector
-from leafsift.session import spread, staged
+from leafsift.session import keep, shared_dir, spread, staged
+from leafsift.sources import files
 from leafsift.sources.files import latest_by
 from leafsift.sources.tables import table
+from leafsift.streaming import indexing
 
 SET = Settings()
 TERMS = ("boca", "seca")
@@ -228,12 +232,18 @@ def q25_response(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q26_upsert(spark: SparkSession, d: str) -> DataFrame:
-    return _bulas(spark, d).select("bula_id", "id", "fabricante", F.unix_micros("carregado_em").alias("carregado"))
+    """The deliveries in two parts, the second over the first, read back as stored."""
+    b = table(spark, d, "bulas").select("bula_id", "id", "fabricante", "carregado_em")
+    second = F.pmod(F.xxhash64("bula_id", "carregado_em"), F.lit(2)) == 1  # deliveries of one leaflet are in either part
+    path = keep(spark, f"{shared_dir(spark)}/leafsift-bulas-{uuid.uuid4().hex}")
+    for part in (b.where(~second), b.where(second)):
+        files.upsert(spark, path, part, "bula_id", "carregado_em")
+    return spark.read.parquet(path).select("bula_id", "id", "fabricante", F.unix_micros("carregado_em").alias("carregado"))
 
 
 def q27_arrivals(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("criado_em is not null")
-    return docs.groupBy(F.window("criado_em", "1 day").alias("j")).agg(F.count("*").alias("linhas")).select(F.unix_micros("j.start").alias("dia"), "linhas")
+    return indexing.arrivals(docs, "criado_em").select(F.unix_micros("janela.start").alias("dia"), "linhas")
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit()}

@@ -71,10 +71,16 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/leafsift-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    _staged_paths(spark).append(path)
+    keep(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep(spark: SparkSession, path: str) -> str:
+    """``path``, to be deleted by ``release``."""
+    _staged_paths(spark).append(path)
+    return path
+
+
 def _staged_paths(spark: SparkSession) -> list[str]:
     if not hasattr(spark, "_leafsift_paths"):
         spark._leafsift_paths = []

@@ -180,3 +180,19 @@ def test_settings():
 def test_embedder_is_stable():
     e = models.HashingEmbedder()
     assert np.allclose(e.encode(["a b"]), e.encode(["a b"])) and not e.encode([""]).any()
+
+
+def test_queries_run_their_operators(spark, tmp_path, monkeypatch):
+    from leafsift.plans import queries
+    from leafsift.sources import files
+    from leafsift.streaming import indexing
+
+    called = []
+    for module, name in ((files, "upsert"), (indexing, "arrivals")):
+        monkeypatch.setattr(module, name, lambda *a, _f=getattr(module, name), _n=name, **k: (called.append(_n), _f(*a, **k))[1])
+    spark.sql("""SELECT * FROM VALUES (1L, 'a', 'x', timestamp'2024-01-01'), (1L, 'a', 'y', timestamp'2024-01-03'), (1L, 'a', 'z', timestamp'2024-01-02'),
+        (2L, 'b', 'u', timestamp'2024-01-01') AS t(bula_id, id, fabricante, carregado_em)""").write.parquet(f"{tmp_path}/bulas.parquet")
+    spark.sql("SELECT 1L AS doc_id, timestamp'2024-01-01 10:00:00' AS criado_em UNION ALL SELECT 2L, null").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["bula_id"], r["fabricante"]) for r in queries.q26_upsert(spark, str(tmp_path)).collect())
+    assert got == [(1, "y"), (2, "u")] and called == ["upsert", "upsert"]
+    assert [r["linhas"] for r in queries.q27_arrivals(spark, str(tmp_path)).collect()] == [1] and called[2:] == ["arrivals"]
