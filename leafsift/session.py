@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIRS: list[str] = []
 
@@ -48,55 +52,99 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for cut lineage: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder for cut lineage, that of spark.checkpoint.dir.
+
+    Where the setting is absent a folder of our own serves a session of one machine (master
+    ``local``); on a cluster, where other machines could not read it, that is an error.
+    """
     sc = spark.sparkContext
-    set_by_cluster = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if current:
-        return current.rstrip("/")
+    given = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if given:
+        return given.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     own = tempfile.mkdtemp(prefix="leafsift-")
     _OWN_DIRS.append(own)
     sc.setCheckpointDir("file://" + own)
-    return "file://" + own
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is; for narrow, staged tables."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it again.
 
     Cuts the lineage like checkpoint(), survives the loss of executors, and the copy is columnar,
-    so later reads fetch only the columns they use. ``release`` deletes the tables of a session.
+    so later reads fetch only the columns they use. The shuffle files of the write are deleted with
+    it. The table goes at the end of the ``scratch`` block it is written in, or with ``release``, or
+    with the driver.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/leafsift-{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    keep(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = keep(spark, f"{shared_dir(spark)}/leafsift-{name}-{uuid.uuid4().hex}")
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._leafsift_path = path
+    return out
 
 
 def keep(spark: SparkSession, path: str) -> str:
-    """``path``, to be deleted by ``release``."""
+    """``path``, to be deleted by ``release`` or with the driver."""
+    p, fs = _file_system(spark, path)
+    fs.deleteOnExit(p)
     _staged_paths(spark).append(path)
     return path
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def _staged_paths(spark: SparkSession) -> list[str]:
     if not hasattr(spark, "_leafsift_paths"):
         spark._leafsift_paths = []
     return spark._leafsift_paths
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A block whose staged tables are deleted at its end, but for those named to what it yields."""
+    paths = _staged_paths(spark)
+    start, kept = len(paths), set()
+
+    def hold(df: DataFrame) -> DataFrame:
+        kept.add(df._leafsift_path)
+        return df
+
+    yield hold
+    own = paths[start:]
+    paths[start:] = [p for p in own if p in kept]
+    _delete(spark, [p for p in own if p not in kept])
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables written by ``staged`` in this session; results that read them must be done."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _staged_paths(spark):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+    _delete(spark, _staged_paths(spark))
     _staged_paths(spark).clear()
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p, fs = _file_system(spark, path)
+        fs.delete(p, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers once per application."""
     sc = spark.sparkContext
@@ -122,14 +170,3 @@ def _clean() -> None:
     for d in _OWN_DIRS:
         shutil.rmtree(d, ignore_errors=True)
 
-
-def forget(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of stages whose results are already staged.
-
-    The cleaner acts when the driver collects its garbage, which on an idle driver is half an hour
-    away; a chain of staged steps would hold all of its shuffles on the executors' disks meanwhile.
-    """
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
