@@ -1,35 +1,35 @@
 """Near-duplicate texts by bottom-k sketches from one hash function.
 
 1. Texts are folded to words. Texts with the same words are one class, stood for by its least key.
-2. Every class keeps the ``k`` smallest hashes of its runs of five words, and the smallest hashes of
-   ``LINKS`` neighbours in the order of all its hashes (the sketch, its values from one function).
-   The chains find texts made of common phrases only, such as one leaflet under two drug names.
-3. Inverted lists of retained values generate overlaps. A list of at most ``list_limit`` classes
-   gives its pairs; counting a pair over all lists gives its overlap in the part of the sketches
-   that is not common property, and overlap over union of that part estimates the resemblance
-   (union sketch). Pairs estimated under ``least_estimate`` are dropped.
-4. Longer lists hold values that are common property of the corpus. They are never turned into
-   pairs as they are: classes that keep fewer than ``least_rare`` values in short lists are taken as
-   a corpus of their own, sketched by their common values only, and listed again, among themselves,
-   where the lists are shorter; and so on. Among common values an edit no longer brings in values of
-   its own, so ``common_estimate`` holds there. What can't be made rarer (masses of copies of one
-   boilerplate text) is compared block against block by whole sketches. So no list is capped, and
-   no task holds more than ``list_limit`` classes or two blocks.
-5. The exact Jaccard similarity of the runs of three words verifies every pair that is left, and
-   then every pair that has a verified link to a common third.
-6. A list can also be long because of one large group, such as two revisions of a leaflet in many
-   copies each. So linked classes are taken as one unit, and the long lists are listed again by
-   units (step 3), where a value that only one unit has is nobody's rare value; units that stay poor
-   go on as in step 4. Every pair of classes of two units that overlap enough is verified, and so on
-   until no unit grows.
+2. Every class keeps the ``k`` smallest hashes of its runs of five words: its sketch.
+3. A pair is a candidate if its sketches share at least ``least`` of the larger one's values, ``c``
+   of them. Inverted lists of the retained values find all such pairs, whatever the lists' lengths.
+   Lists of at most ``short`` classes give their pairs, and counting a pair over all of them gives its
+   overlap in rare values; those of ``RARE`` or more are candidates. A pair with fewer shares at
+   least ``c - RARE + 1`` common values, from longer lists:
+4. Each class orders its common values by rarity, and enters the lists of those only from which
+   that many can still follow (the prefix). It takes the values behind along, so a list compares
+   its members by what they share from there on, and only pairs that share enough leave it. A list
+   too long for one task is split by its members' next values, in the same way and as often as need
+   be; if most of its members share much, splitting would not shrink it, and it is met block against
+   block. No list is capped and no class left out, so steps 3 and 4 are exact.
+5. The union sketch (the ``k`` least values of both) estimates the resemblance of each candidate;
+   those under ``least`` are dropped.
+6. The exact Jaccard similarity of the runs of three words verifies the rest.
+
+What is left to chance is the estimate of step 5 alone. A pair above one half in runs of three words
+has at least 0.28 in runs of five even if its edits stand as far apart as they can.
 
 Defined results: null, blank, empty and ``NA`` texts, and texts without a word, are in no pair and
-in no group of more than one. Repeated rows of one key count once. Texts shorter than a run are one
-run. Columns other than key and text are not read.
+in no group of more than one. Repeated rows of one key count once; of different texts under one key
+the one with the least digest is sketched. Texts shorter than a run are one run. Columns other than key and text are not
+read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,12 +37,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafsift.llm.shingles import chains, jaccard, many
-from leafsift.session import forget, ship, spread, staged
+from leafsift.llm.shingles import jaccard, many
+from leafsift.session import scratch, ship, small, spread, staged
 
-K, CHAINS, LINKS = 40, 48, 3
-LIST_LIMIT, LEAST_RARE, LEAST_ESTIMATE, COMMON_ESTIMATE, LEVELS, BLOCK, FEW = 48, 8, 0.09, 0.2, 8, 256, 10_000
-SKETCH_RUN, EXACT_RUN = 5, 3
+K, LEAST, SHORT, RARE, LONG, BUCKET = 48, 0.16, 48, 3, 2000, 20_000
+SKETCH_RUN, EXACT_RUN, CACHE_CHARS = 5, 3, 8_000_000
 
 
 def filled(c: Column) -> Column:
@@ -50,31 +49,44 @@ def filled(c: Column) -> Column:
     return c.isNotNull() & c.rlike(r"(?U)[^\s\x1c-\x1f]") & ~c.rlike(r"(?U)\A[\s\x1c-\x1f]*NA[\s\x1c-\x1f]*\z")
 
 
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    ends = np.zeros(len(parts) + 1, dtype=np.int32)
+    np.cumsum([len(p) for p in parts], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else [], kind))
+
+
 def _sketches(k: int):
     @F.arrow_udf("struct<fp:binary,sk:array<bigint>>")
     def sketch(texts: pa.Array) -> pa.Array:
         fps, parts = [], []
         for h, runs in many(texts.to_pylist(), SKETCH_RUN):
             fps.append(xxhash.xxh128_digest(h.tobytes()) if len(h) else None)
-            parts.append(np.concatenate([runs[:k], chains(runs, LINKS)[:CHAINS]]).view(np.int64))
-        ends = np.zeros(len(parts) + 1, dtype=np.int32)
-        np.cumsum([len(p) for p in parts], out=ends[1:])
-        flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-        return pa.StructArray.from_arrays([pa.array(fps, pa.binary()), lists], ["fp", "sk"])
+            parts.append(runs[:k].view(np.int64))
+        return pa.StructArray.from_arrays([pa.array(fps, pa.binary()), _lists(parts, pa.int64())], ["fp", "sk"])
 
     return sketch
 
 
+_cut: dict[str, np.ndarray] = {}  # runs of texts seen by this worker, of at most CACHE_CHARS characters
+
+
+def _runs_of(texts: list[str], run: int) -> list[np.ndarray]:
+    new = [t for t in dict.fromkeys(texts) if t not in _cut]
+    if sum(map(len, _cut)) + sum(map(len, new)) > CACHE_CHARS:
+        _cut.clear()
+        new = list(dict.fromkeys(texts))
+    _cut.update(zip(new, (r for _, r in many(new, run))))
+    return [_cut[t] for t in texts]
+
+
 def _verify(run: int):
     @F.arrow_udf("double")
     def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
-        out, n = [], 500  # pairs at once; a text that recurs among them is cut once
+        out, n = [], 500  # pairs at once; a text that recurs is cut once
         for at in range(0, len(a), n):
             x, y = a.slice(at, n).to_pylist(), b.slice(at, n).to_pylist()
-            place = {t: i for i, t in enumerate(dict.fromkeys(x + y))}
-            runs = [r for _, r in many(list(place), run)]
-            out += [jaccard(runs[place[p]], runs[place[q]]) for p, q in zip(x, y)]
+            runs = _runs_of(x + y, run)
+            out += map(jaccard, runs[: len(x)], runs[len(x) :])
         return pa.array(out, pa.float64())
 
     return similarity
@@ -87,264 +99,256 @@ def sketched(df: DataFrame, key: str, text: str, k: int = K) -> DataFrame:
     return d.select("key", _sketches(k)("t").alias("s")).select("key", "s.fp", "s.sk").where("fp is not null")
 
 
-def classes(rows: DataFrame) -> DataFrame:
-    """(fp, doc, sk): one row per distinct word sequence; ``doc`` is the least key that has it."""
-    return rows.groupBy("fp").agg(F.min("key").alias("doc"), F.first("sk").alias("sk"))
+def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes, membership): (fp, doc, sk), one row per distinct word sequence, ``doc`` the least key that has it; (key, fp)."""
+    own = rows.groupBy("key").agg(F.min("fp").alias("fp"))
+    least = own.groupBy("fp").agg(F.min("key").alias("doc"))
+    return rows.groupBy("fp").agg(F.first("sk").alias("sk")).join(least, "fp"), own
 
 
-def members(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """(key, doc): the class of every key with words."""
-    return rows.select("key", "fp").distinct().join(table.select("fp", "doc"), "fp").select("key", "doc").distinct()
+# --- candidates --------------------------------------------------------------------------------------
 
 
-def _listed(sk: DataFrame, limit: int) -> DataFrame:
-    """(h, l): classes that retain h, ``limit`` + 1 of them at most.
+def _postings(table: DataFrame, least: float) -> DataFrame:
+    """(doc, c, h): the retained values, and how many of them a partner must share."""
+    return table.select("doc", F.ceil(F.lit(least) * F.size("sk")).cast("int").alias("c"), F.explode("sk").alias("h"))
 
-    The limit acts before the shuffle as well as after it; a list of limit + 1 only says that it is
-    longer, and is not used as a list.
-    """
-    post = sk.select("doc", F.explode("sk").alias("h"))
-    rn = F.row_number().over(Window.partitionBy("h").orderBy("doc"))
-    few = post.withColumn("rn", rn).where(F.col("rn") <= limit + 1)
-    return few.groupBy("h").agg(F.collect_list("doc").alias("l"))
 
+def _rare_pairs(post: DataFrame, short: int) -> DataFrame:
+    """(a, b) with enough rare values in common.
 
-def _overlaps(rare: DataFrame, limit: int, least: float) -> DataFrame:
-    """(a, b) whose estimated resemblance over the rare part reaches ``least``."""
-    n = F.size("hs") if "m" not in rare.columns else F.least(F.size("hs"), "m")  # m: of a unit's least sketch
-    items = rare.select(F.struct("doc", n.cast("int").alias("n")).alias("x"), F.explode("hs").alias("h"))
-    lists = items.groupBy("h").agg(F.collect_list("x").alias("l"))  # at most ``limit`` items
+    The rank filter acts before the shuffle as well, so a long list sends ``short`` + 1 members from
+    each task at most, which tell that it is long; it is left to ``_common``.
+    """
+    rn = F.row_number().over(Window.partitionBy("h").orderBy("doc"))
+    item = F.struct("doc", F.least("c", F.lit(RARE)).alias("need"))
+    few = post.withColumn("rn", rn).where(F.col("rn") <= short + 1)
+    lists = few.groupBy("h").agg(F.collect_list(item).alias("l")).where((F.size("l") > 1) & (F.size("l") <= short))
     one = lists.select("l", F.posexplode("l").alias("i", "x"))
-    two = one.select("x", F.explode(F.slice("l", F.col("i") + 2, F.lit(limit))).alias("y"))
+    two = one.select("x", F.explode(F.slice("l", F.col("i") + 2, F.lit(short))).alias("y"))
     pair = two.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"))
-    counted = pair.groupBy(
-        F.col("p.doc").alias("a"), F.col("q.doc").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb")
-    ).count()
-    return counted.where(F.col("count") >= least * (F.col("na") + F.col("nb") - F.col("count"))).select("a", "b")
-
-
-def _blocks(sk: DataFrame, n: int, least: float) -> DataFrame:
-    """Candidates among classes with hardly any rare value, block by block, by whole sketches."""
-    nb = -(-n // BLOCK)
-    key_type = sk.schema["doc"].dataType.simpleString()
-    home = F.pmod(F.xxhash64("doc"), F.lit(nb)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("other")
-    d = sk.select("doc", "sk", home.alias("own"), every).select(
-        "doc", "sk", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
-    )
+    counted = pair.groupBy(F.col("p.doc").alias("a"), F.col("q.doc").alias("b"), F.greatest("p.need", "q.need").alias("need")).count()
+    return counted.where("count >= need").select("a", "b")
 
-    def compare(pdf):
-        import pandas as pd
-
-        values, codes = np.unique(np.concatenate([np.asarray(s) for s in pdf["sk"]]), return_inverse=True)
-        sizes = np.array([len(s) for s in pdf["sk"]])
-        m = np.zeros((len(pdf), len(values)), dtype=np.float32)
-        m[np.repeat(np.arange(len(pdf)), sizes), codes] = 1
-        both = m @ m.T
-        est = both / np.maximum(sizes[:, None] + sizes[None, :] - both, 1)
-        a, b = np.nonzero(np.triu(est >= least, 1))
-        own = pdf["own"].to_numpy()
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        ok = (own[a] != own[b]) if i != j else np.ones(len(a), bool)
-        doc = pdf["doc"].to_numpy()
-        x, y = doc[a[ok]], doc[b[ok]]
-        return pd.DataFrame({"a": np.where(x < y, x, y), "b": np.where(x < y, y, x)})
-
-    return d.groupBy("i", "j").applyInPandas(compare, f"a {key_type}, b {key_type}")
-
-
-def _through_levels(
-    sk: DataFrame, list_limit: int, least_rare: int, least: float, common_estimate: float, listed: DataFrame | None = None,
-    rare_before: DataFrame | None = None,
-) -> DataFrame:
-    """(a, b) of rows (doc, sk) by their short lists, then of the poor ones by their long lists, at last by blocks.
-
-    ``rare_before``, (doc, r): values that count as rare besides those in short lists of ``sk``. A column
-    ``m`` of ``sk`` is the size that an estimate and the least share of common values go by.
+
+def _common(post: DataFrame, short: int) -> DataFrame:
+    """(doc, need, vs, ws): the common values of each class, rarest first, of those that can have ``need`` in common."""
+    hot = staged(post.groupBy("h").agg(F.count("*").alias("df")).where(F.col("df") > short), "comuns")
+    need = F.greatest(F.col("c") - RARE + 1, F.lit(1))
+    d = post.join(small(hot), "h").groupBy("doc", "c").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
+    d = d.select("doc", need.alias("need"), F.col("o.h").alias("vs"), F.transform("o", lambda x: F.shiftright(F.shiftleft(x["h"], 32), 32).cast("int")).alias("ws"))
+    return d.where(F.size("vs") >= F.col("need"))
+
+
+def _entries(sets: DataFrame) -> DataFrame:
+    """(path, doc, need, rest): each set in the lists of its prefix, with the values behind and what is needed of them.
+
+    The values behind are compared within a list only, so half of each hash is enough.
+    """
+    prefix = F.slice("vs", F.lit(1), F.size("vs") - F.col("need") + 1)
+    one = sets.select("path", "doc", "need", "ws", F.posexplode(prefix).alias("i", "v"))
+    rest = F.slice("ws", F.col("i") + 2, F.size("ws"))
+    return one.select(F.concat("path", F.array("v")).alias("path"), "doc", (F.col("need") - 1).alias("need"), rest.alias("rest"))
+
+
+def _met(docs: np.ndarray, need: np.ndarray, rest: list[np.ndarray], parts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one list (of different ``parts``, if given) that share enough of what is behind the list's value."""
+    n = len(docs)
+    sizes = np.fromiter(map(len, rest), np.int64, n)
+    flat = np.concatenate(rest) if sizes.any() else np.empty(0, np.int64)
+    own = np.repeat(np.arange(n), sizes)
+    order = np.argsort(flat, kind="stable")
+    f, o = flat[order], own[order]
+    edge = np.flatnonzero(np.r_[True, f[1:] != f[:-1]]) if len(f) else np.empty(0, np.int64)
+    size = np.diff(np.r_[edge, len(f)])
+    several = size > 1
+    if (size[several].astype(float) ** 2).sum() < 4e6:
+        left = np.repeat(edge + size, size) - np.arange(len(f)) - 1  # later members of the same value
+        x = np.repeat(np.arange(len(f)), left)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(left) - left, left)
+        both = np.bincount(o[x] * n + o[y], minlength=n * n).reshape(n, n) if n else np.zeros((0, 0), np.int64)
+        both = both + both.T
+    else:
+        both, step = np.zeros((n, n), np.float32), 1024
+        code = np.repeat(np.cumsum(several) - 1, size)
+        keep = np.repeat(several, size)
+        o, code = o[keep], code[keep]
+        for at in range(0, int(several.sum()), step):
+            m = np.zeros((n, step), np.float32)
+            here = (code >= at) & (code < at + step)
+            m[o[here], code[here] - at] = 1
+            both += m @ m.T
+    ok = np.triu(both >= np.maximum(need[:, None], need[None, :]), 1) & (docs[:, None] != docs[None, :])
+    if parts is not None:
+        ok &= parts[:, None] != parts[None, :]
+    i, j = np.nonzero(ok)
+    a, b = docs[i], docs[j]
+    return np.where(a < b, a, b), np.where(a < b, b, a)
+
+
+def _compared(entries: DataFrame, group: list[str], pieces: int) -> DataFrame:
+    """(a, b) of the lists in ``entries``, several lists to a task; ``group`` names a list."""
+    kind = entries.schema["doc"].dataType.simpleString()
+    bucket = F.pmod(F.xxhash64(*group), F.lit(pieces)).cast("int")
+    split = "own" in entries.columns
+    d = entries.select(bucket.alias("bucket"), F.xxhash64(*group).alias("g"), "doc", "need", "rest", *(["own", "whole"] if split else []))
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.sort_by("g").combine_chunks()
+        g = t["g"].to_numpy()
+        edges = np.r_[np.flatnonzero(np.r_[True, g[1:] != g[:-1]]), len(g)]
+        docs, need = np.array(t["doc"].to_pylist()), t["need"].to_numpy()
+        lists = t["rest"].combine_chunks()
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        own = t["own"].to_numpy() if split else None
+        whole = t["whole"].to_numpy(zero_copy_only=False) if split else None
+        out_a, out_b = [], []
+        for s, e in zip(edges[:-1], edges[1:]):
+            if e - s > 1:
+                rest = [flat[ends[i] : ends[i + 1]] for i in range(s, e)]
+                a, b = _met(docs[s:e], need[s:e], rest, own[s:e] if split and not whole[s] else None)
+                out_a.append(a)
+                out_b.append(b)
+        empty = [np.empty(0, docs.dtype)]
+        made = pa.table({"a": pa.array(np.concatenate(out_a or empty), t.schema.field("doc").type), "b": pa.array(np.concatenate(out_b or empty), t.schema.field("doc").type)})
+        return made.group_by(["a", "b"]).aggregate([])
+
+    return d.groupBy("bucket").applyInArrow(compare, f"a {kind}, b {kind}")
+
+
+def _common_pairs(sets: DataFrame, long: int, bucket: int) -> Iterator[DataFrame]:
+    """Tables (a, b) of the pairs with enough common values, list by list as in step 4."""
+    spark, empty = sets.sparkSession, F.array().cast("array<bigint>")
+    sets = sets.withColumn("path", empty)
+    while True:
+        prefix = F.slice("vs", F.lit(1), F.size("vs") - F.col("need") + 1)
+        sizes = sets.select(F.explode(prefix).alias("v"), "path").groupBy("path", "v").agg(F.count("*").alias("n")).where("n > 1")
+        sizes = sizes.select(F.concat("path", F.array("v")).alias("path"), "n")
+        sizes = staged(sizes, "listas")
+        total, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        if not total:
+            return
+        entries = _entries(sets)
+        if most <= long:
+            yield _compared(entries, ["path"], -(-total // bucket))
+            return
+        entries = staged(entries.join(sizes, "path"), "listas")
+        yield _compared(entries.where(F.col("n") <= long).drop("n"), ["path"], -(-total // bucket))
+        big = entries.where(F.col("n") > long)
+        # how many values two members of a long list share on average; where it is half of what is
+        # needed, the list is met as it is, in blocks
+        shared = big.select("path", "n", "need", F.explode("rest").alias("v")).groupBy("path", "n", "v").agg(F.count("*").alias("m"), F.max("need").alias("need"))
+        shared = shared.groupBy("path", "n").agg(F.sum(F.col("m") * F.col("m")).alias("s"), F.max("need").alias("need"))
+        dense = (F.coalesce("s", F.lit(0)) >= 0.5 * F.col("most") * F.col("n") * F.col("n")) | (F.col("most") <= 1)
+        kind = sizes.where(F.col("n") > long).join(shared.select("path", "s", F.col("need").alias("most")), "path", "left")
+        kind = staged(kind.select("path", F.coalesce(dense, F.lit(True)).alias("dense"), (F.col("n") / (long // 2)).cast("int").alias("last")), "listas")
+        big = big.drop("n").join(kind, "path")
+        blocks = big.where("dense").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("last") + 1).cast("int"))
+        blocks = blocks.select("*", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
+        blocks = blocks.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("whole", F.expr("i = j"))
+        n = kind.where("dense").agg(F.coalesce(F.sum(F.pow(F.col("last") + 1, F.lit(2))), F.lit(0.0))).first()[0]
+        if n:
+            yield _compared(blocks, ["path", "i", "j"], int(n))
+        sets = big.where("not dense").select("path", "doc", "need", F.col("rest").cast("array<bigint>").alias("vs"), F.col("rest").alias("ws"))
+        sets = staged(sets.where((F.size("vs") >= F.col("need")) & (F.col("need") > 0)), "listas")
+        if sets.isEmpty():
+            return
+
+
+def candidates(table: DataFrame, least: float = LEAST, short: int = SHORT, long: int = LONG, bucket: int = BUCKET) -> DataFrame:
+    """Distinct (a, b), a < b, of classes whose sketches share at least ``least`` of the larger one's values."""
+    spark = table.sparkSession
+    with scratch(spark) as hold:
+        post = _postings(table, least)
+        found = [staged(_rare_pairs(post, short), "pares")]
+        for pairs in _common_pairs(staged(_common(post, short), "comuns"), long, bucket):
+            found.append(staged(pairs, "pares"))
+        out = found[0]
+        for f in found[1:]:
+            out = out.unionByName(f)
+        return hold(staged(out.distinct(), "candidatos"))
+
+
+def estimated(cand: DataFrame, table: DataFrame, least: float = LEAST, k: int = K) -> DataFrame:
+    """The candidates whose resemblance, estimated on the union sketch, is at least ``least``.
+
+    The union sketch is the ``k`` least values of both; the share of it that both retain is the estimate.
     """
-    spark, found, before = sk.sparkSession, [], None
-    if "m" not in sk.columns:
-        sk = sk.withColumn("m", F.size("sk"))
-    for level in range(LEVELS):
-        if level or listed is None:
-            listed = staged(_listed(sk, list_limit).where(F.size("l") > 1), "listas")
-        short = listed.where(F.size("l") <= list_limit)
-        rare = short.select("h", F.explode("l").alias("doc")).groupBy("doc").agg(F.collect_list("h").alias("hs"))
-        rare = staged(rare.join(sk.select("doc", "m"), "doc") if rare_before is not None else rare, "raros")
-        found.append(staged(_overlaps(rare, list_limit, common_estimate if level else least), "pares"))
-        hot = listed.where(F.size("l") > list_limit).select("h")
-        n = F.coalesce("n", F.lit(0))
-        counted = sk.join(rare.select("doc", F.size("hs").alias("n")), "doc", "left")
-        if rare_before is not None and not level:
-            counted, n = counted.join(rare_before, "doc", "left"), n + F.coalesce("r", F.lit(0))
-        poor = (
-            counted.where(n < least_rare)
-            .select("doc", "m", F.explode("sk").alias("h"))
-            .join(hot, "h", "left_semi")
-            .groupBy("doc", "m")
-            .agg(F.collect_list("h").alias("sk"))
-            .where(F.size("sk") >= 0.15 * F.col("m"))  # fewer common values can't make a pair alone
-        )
-        sk = poor if rare_before is not None else poor.select("doc", "sk", F.size("sk").alias("m"))
-        sk = staged(sk, "comuns")
-        forget(spark)
-        n = sk.count()
-        if not n:
-            break
-        if n <= FEW or level == LEVELS - 1 or (before is not None and n > 0.9 * before):
-            found.append(staged(_blocks(sk.select("doc", "sk"), n, common_estimate), "pares"))
-            break
-        before = n
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.distinct() if len(found) > 1 else out
-
-
-def candidates(
-    table: DataFrame,
-    list_limit: int = LIST_LIMIT,
-    least_rare: int = LEAST_RARE,
-    least_estimate: float = LEAST_ESTIMATE,
-    common_estimate: float = COMMON_ESTIMATE,
-    listed: DataFrame | None = None,
-) -> DataFrame:
-    """Distinct (a, b), a < b, of classes whose sketches overlap enough."""
-    return _through_levels(table.select("doc", "sk"), list_limit, least_rare, least_estimate, common_estimate, listed)
-
-
-def _between(
-    table: DataFrame,
-    links: DataFrame,
-    listed: DataFrame,
-    list_limit: int = LIST_LIMIT,
-    least_rare: int = LEAST_RARE,
-    least_estimate: float = LEAST_ESTIMATE,
-    common_estimate: float = COMMON_ESTIMATE,
-) -> DataFrame:
-    """(a, b), a < b, of classes in different units (components of ``links``) whose long lists overlap enough."""
-    own = staged(components(links.select("a", "b")).select("doc", F.col("grupo").alias("own")), "unidades")
-    # values in short lists: those of a unit count if another unit has them too
-    short = listed.where(F.size("l") <= list_limit)
-    each = short.select("h", F.size("l").alias("s"), F.explode("l").alias("doc")).join(own, "doc", "left")
-    each = each.select("h", "s", F.coalesce("own", "doc").alias("doc")).groupBy("h", "s", "doc").count().where("s > count")
-    r = staged(each.groupBy("doc").agg(F.count("*").alias("r")), "raros")
-    units = table.select("doc", F.size("sk").alias("m"), F.explode("sk").alias("h"))
-    units = units.join(listed.where(F.size("l") > list_limit).select("h"), "h", "left_semi").join(own, "doc", "left")
-    units = units.groupBy(F.coalesce("own", "doc").alias("doc")).agg(F.collect_set("h").alias("sk"), F.min("m").alias("m"))
-    pairs = _through_levels(staged(units, "unidades"), list_limit, least_rare, least_estimate, common_estimate, rare_before=r)
-    member = table.select("doc").join(own, "doc", "left").select("doc", F.coalesce("own", "doc").alias("own"))
-    x, y = member.select(F.col("own").alias("a"), F.col("doc").alias("x")), member.select(F.col("own").alias("b"), F.col("doc").alias("y"))
-    both = pairs.join(x, "a").join(y, "b")
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    sk = table.select("doc", "sk")
+    d = cand.join(sk.select(F.col("doc").alias("a"), F.col("sk").alias("x")), "a").join(sk.select(F.col("doc").alias("b"), F.col("sk").alias("y")), "b")
+    # values of one hash function, compared as unsigned numbers: flipping the sign bit keeps that order
+    union = F.slice(F.array_sort(F.transform(F.array_union("x", "y"), lambda v: v.bitwiseXOR(F.lit(-(2**63))))), 1, k)
+    d = d.select("a", "b", union.alias("u"), F.transform(F.array_intersect("x", "y"), lambda v: v.bitwiseXOR(F.lit(-(2**63)))).alias("i"))
+    return d.where(F.size(F.array_intersect("u", "i")) >= F.lit(least) * F.size("u")).select("a", "b").distinct()
 
 
 def verified(df: DataFrame, key: str, text: str, cand: DataFrame, above: float) -> DataFrame:
-    """(a, b, jaccard) of the candidates whose runs of three words have Jaccard similarity > ``above``."""
-    texts = df.select(F.col(key).alias("key"), F.col(text).alias("t")).where(filled(F.col("t")))
+    """(a, b, jaccard) of the candidates whose runs of three words have Jaccard similarity > ``above``.
+
+    Only texts named by a candidate are read on; of several texts under one key the best pair counts.
+    """
+    named = staged(cand.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "chaves")
+    texts = df.select(F.col(key).alias("key"), F.col(text).alias("t")).join(small(named), "key", "left_semi").where(filled(F.col("t"))).distinct()
+    texts = staged(texts, "textos")
     pairs = cand.join(texts.select(F.col("key").alias("a"), F.col("t").alias("ta")), "a").join(
         texts.select(F.col("key").alias("b"), F.col("t").alias("tb")), "b"
     )
     sim = pairs.select("a", "b", _verify(EXACT_RUN)("ta", "tb").alias("jaccard"))
-    return sim.where(F.col("jaccard") > above).dropDuplicates(["a", "b"])
-
+    return sim.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard")).where(F.col("jaccard") > above)
 
-def _two_steps(links: DataFrame) -> DataFrame:
-    """(a, b) linked to a common class and not to each other."""
-    e = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    far = e.join(e.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").where("a < c").select("a", F.col("c").alias("b"))
-    return far.distinct().join(links, ["a", "b"], "left_anti")
 
-
-def _closed(df: DataFrame, key: str, text: str, links: DataFrame, above: float, tried: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-    """(links, tried): also the pairs two links apart, until none is new."""
-    while True:
-        far = _two_steps(links)
-        if tried is not None:
-            far = far.join(tried, ["a", "b"], "left_anti")
-        far = staged(far, "distantes")
-        if far.isEmpty():
-            return links, tried
-        tried = far if tried is None else tried.unionByName(far)
-        more = staged(verified(df, key, text, far, above), "elos")
-        if more.isEmpty():
-            return links, tried
-        links = links.unionByName(more)
-
-
-def similar_classes(
-    df: DataFrame, key: str, text: str, table: DataFrame, above: float = 0.5, close: bool = True, **settings
-) -> DataFrame:
-    """Links between classes. ``close`` also tries the pairs two links apart, until none is new, so that
-    every pair of a group is tried; groups as such don't need them."""
-    listed = staged(_listed(table.select("doc", "sk"), settings.get("list_limit", LIST_LIMIT)).where(F.size("l") > 1), "listas")
-    tried = cand = staged(candidates(table, listed=listed, **settings), "candidatos")
-    forget(df.sparkSession)
-    links = staged(verified(df, key, text, cand, above), "elos")
-    far = None
-    while not links.isEmpty():
-        if close:
-            links, far = _closed(df, key, text, links, above, far)
-        done = tried if far is None else tried.unionByName(far)
-        cand = staged(_between(table, links, listed, **settings).join(done, ["a", "b"], "left_anti"), "candidatos")
-        forget(df.sparkSession)
-        if cand.isEmpty():
-            break
-        more = staged(verified(df, key, text, cand, above), "elos")
-        if more.isEmpty():
-            break
-        links, tried = links.unionByName(more), tried.unionByName(cand)
-    return links
-
-
-def near_duplicate_pairs(df: DataFrame, key: str, text: str, above: float = 0.5, k: int = K, close: bool = True, **settings):
-    """(pairs of classes, membership): links between different texts, and the class of every key."""
-    rows = staged(sketched(df, key, text, k), "linhas")
-    table = staged(classes(rows), "classes")
-    forget(df.sparkSession)
-    links = similar_classes(df, key, text, table, above, close, **settings)
-    return links, members(rows, table)
+def near_duplicate_pairs(df: DataFrame, key: str, text: str, above: float = 0.5, k: int = K, least: float = LEAST, **settings) -> tuple[DataFrame, DataFrame]:
+    """(links between classes, membership): (a, b, jaccard) of different texts, and (key, doc) of every key."""
+    with scratch(df.sparkSession) as hold:
+        rows = staged(sketched(df, key, text, k), "linhas")
+        table, own = classes(rows)
+        table = staged(table, "classes")
+        cand = staged(estimated(candidates(table, least, **settings), table, least, k), "candidatos")
+        links = hold(staged(verified(df, key, text, cand, above), "elos"))
+        return links, hold(staged(own.join(table.select("fp", "doc"), "fp").select("key", "doc"), "membros"))
 
 
 def expand_pairs(links: DataFrame, member: DataFrame) -> DataFrame:
     """All pairs of keys: linked classes by their members, and the copies inside each class."""
-    m = staged(member, "membros")
-    a, b = m.select(F.col("key").alias("ka"), F.col("doc").alias("a")), m.select(F.col("key").alias("kb"), F.col("doc").alias("b"))
+    a, b = member.select(F.col("key").alias("ka"), F.col("doc").alias("a")), member.select(F.col("key").alias("kb"), F.col("doc").alias("b"))
     between = links.select("a", "b").join(a, "a").join(b, "b").select("ka", "kb")
-    several = m.groupBy("doc").count().where("count > 1").select("doc")
-    own = m.join(several, "doc")
+    several = member.groupBy("doc").count().where("count > 1").select("doc")
+    own = member.join(several, "doc")
     inside = own.select(F.col("key").alias("ka"), "doc").join(own.select(F.col("key").alias("kb"), "doc"), "doc").where("ka < kb")
-    both = between.unionByName(inside.select("ka", "kb"))
+    both = between.unionByName(inside.select("ka", "kb")).where("ka <> kb")
     return both.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
 
 
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
-    """(doc, grupo): least key of the connected component, by alternating large and small stars."""
+def components(edges: DataFrame) -> DataFrame:
+    """(doc, grupo): least key of the connected component, by alternating large and small stars until nothing changes."""
     spark = edges.sparkSession
-    e = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "estrela")
-    for _ in range(most):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_min = large.groupBy("u").agg(F.min("v").alias("m"))
-        nxt = (
-            large.join(small_min, "u")
-            .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-            .select("x.u", "x.v")
-            .where("u <> v")
-            .distinct()
-        )
-        nxt = staged(nxt, "estrela")
-        same = nxt.count() == e.count() and nxt.join(e, ["u", "v"], "left_anti").isEmpty()
-        e = nxt
-        forget(spark)
-        if same:
-            break
-    stars = e.groupBy("u").agg(F.min("v").alias("grupo")).select(F.col("u").alias("doc"), "grupo")
-    return stars.unionByName(stars.select(F.col("grupo").alias("doc"), "grupo").distinct())
+    with scratch(spark) as hold:
+        e = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "estrela")
+        while True:
+            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            small_min = large.groupBy("u").agg(F.min("v").alias("m"))
+            nxt = (
+                large.join(small_min, "u")
+                .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+                .select("x.u", "x.v")
+                .where("u <> v")
+                .distinct()
+            )
+            nxt = staged(nxt, "estrela")
+            same = nxt.count() == e.count() and nxt.join(e, ["u", "v"], "left_anti").isEmpty()
+            e = nxt
+            if same:
+                break
+        stars = e.groupBy("u").agg(F.min("v").alias("grupo")).select(F.col("u").alias("doc"), "grupo")
+        return hold(staged(stars.unionByName(stars.select(F.col("grupo").alias("doc"), "grupo").distinct()), "grupos"))
 
 
 def groups(links: DataFrame, member: DataFrame) -> DataFrame:
-    """(key, classe, grupo): one row per key; copies share a classe, similar classes a grupo."""
+    """(key, classe, grupo, elos): one row per key; copies share a classe, similar classes a grupo; ``elos``
+    counts the other classes that the key's class is linked to."""
     comp = components(links.select("a", "b"))
-    return member.join(comp, "doc", "left").select("key", F.col("doc").alias("classe"), F.coalesce("grupo", "doc").alias("grupo"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("elos"))
+    d = member.join(comp, "doc", "left").join(ends, "doc", "left")
+    return d.select("key", F.col("doc").alias("classe"), F.coalesce("grupo", "doc").alias("grupo"), F.coalesce("elos", F.lit(0)).alias("elos"))

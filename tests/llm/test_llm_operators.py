@@ -207,7 +207,7 @@ def test_near_duplicates_of_common_phrases(spark):
         data.append((k, " ".join(t)))
     data += [(200 + i, t) for i, t in enumerate(["", None, "NA", " \n", "...", "só duas"])]
     df = spark.createDataFrame(data, "k long, t string")
-    links, member = near_duplicates.near_duplicate_pairs(df, "k", "t", list_limit=20)
+    links, member = near_duplicates.near_duplicate_pairs(df, "k", "t", short=20)
     want = _brute_pairs(data[:130])
     got = {tuple(r) for r in near_duplicates.expand_pairs(links, member).select("a", "b").collect()}
     assert got == want and len(want) > 5000
@@ -230,8 +230,71 @@ def test_near_duplicates_of_two_revisions(spark):
     want = _brute_pairs(data)
     links, member = near_duplicates.near_duplicate_pairs(df, "k", "t")
     assert {tuple(r) for r in near_duplicates.expand_pairs(links, member).select("a", "b").collect()} == want and len(want) == 3160
-    some, member = near_duplicates.near_duplicate_pairs(df, "k", "t", close=False)
-    assert Counter(r["grupo"] for r in near_duplicates.groups(some, member).collect())[0] == 80
+    grouped = near_duplicates.groups(links, member).collect()
+    assert Counter(r["grupo"] for r in grouped)[0] == 80 and {r["elos"] for r in grouped if r["grupo"] == 0} == {79}
+
+
+def _families(n):
+    """Two texts a family; every two texts have 720 of 1,000 words in common, 0.56 of their runs of three words."""
+    common = [f"c{i}" for i in range(720)]
+    out = []
+    for f in range(n // 2):
+        own = [f"f{f}x{i}" for i in range(280)]
+        for c in range(2):
+            out.append((len(out), " ".join(common + (own if not c else own[:10] + [f"z{f}"] + own[11:]))))
+    return out
+
+
+@pytest.mark.parametrize(("n", "settings_"), [(60, {}), (120, {}), (500, {}), (120, {"short": 8, "long": 20, "bucket": 300})])
+def test_near_duplicates_with_a_common_part(spark, n, settings_):
+    """No pair is lost however many texts share the part; the last case meets its lists block against block."""
+    df = spark.createDataFrame(_families(n), "k long, t string")
+    links, member = near_duplicates.near_duplicate_pairs(df, "k", "t", **settings_)
+    assert links.count() == n * (n - 1) // 2 and member.count() == n
+
+
+@pytest.mark.parametrize("settings_", [{}, {"short": 8, "long": 20, "bucket": 500}, {"short": 4, "long": 10, "bucket": 100}])
+def test_near_duplicates_among_stock_phrases(spark, settings_):
+    """Texts made of few phrases, whose every value is common; long lists are split by next values."""
+    rng = random.Random(1)
+    phrases = [" ".join(f"w{rng.randrange(400)}" for _ in range(7)) for _ in range(40)]
+    data = []
+    for _ in range(150):
+        t = [rng.choice(phrases) for _ in range(12)]
+        for c in range(rng.randint(1, 3)):
+            u = list(t)
+            if c:
+                u[rng.randrange(12)] = rng.choice(phrases)
+            data.append((f"t{len(data):04}", " ".join(u)))
+    links, member = near_duplicates.near_duplicate_pairs(spark.createDataFrame(data, "k string, t string"), "k", "t", **settings_)
+    got = {tuple(r) for r in near_duplicates.expand_pairs(links, member).select("a", "b").collect()}
+    assert got == _brute_pairs(data) and len(got) > 50
+
+
+def test_candidates_are_those_of_the_sketches(spark):
+    """Every pair whose sketches share enough is a candidate, and no pair is estimated but by its union sketch."""
+    rng = random.Random(3)
+    data = _corpus(rng, 40, 60, 25)
+    df = spark.createDataFrame(data, "k long, t string")
+    rows_ = near_duplicates.sketched(df, "k", "t", 16).collect()
+    table = spark.createDataFrame([(r["key"], r["fp"], r["sk"]) for r in {r["fp"]: r for r in rows_}.values()], "doc long, fp binary, sk array<bigint>")
+    sk = {r["doc"]: [v % 2**64 for v in r["sk"]] for r in table.collect()}
+    want, passed = set(), set()
+    for a in sk:
+        for b in sk:
+            if a < b:
+                both = set(sk[a]) & set(sk[b])
+                union = sorted(set(sk[a]) | set(sk[b]))[:16]
+                if len(both) >= max(math.ceil(0.3 * len(sk[a])), math.ceil(0.3 * len(sk[b]))):
+                    want.add((a, b))
+                    if len(both & set(union)) >= 0.3 * len(union):
+                        passed.add((a, b))
+    for kw in ({}, {"short": 5, "long": 9, "bucket": 50}):
+        cand = near_duplicates.candidates(table, 0.3, **kw)
+        got = {tuple(r) for r in cand.collect()}
+        assert want <= got
+        assert {tuple(r) for r in near_duplicates.estimated(cand, table, 0.3, 16).collect()} >= passed
+    assert passed
 
 
 def test_near_duplicates_of_nothing(spark):
