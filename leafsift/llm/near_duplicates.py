@@ -8,8 +8,8 @@
    overlap in rare values; those of ``RARE`` or more are candidates. A pair with fewer shares at
    least ``c - RARE + 1`` common values, from longer lists:
 4. Each class orders its common values by rarity, and enters the lists of those only from which
-   that many can still follow (the prefix). It takes the values behind along, so a list compares
-   its members by what they share from there on, and only pairs that share enough leave it. A list
+   that many can still follow (the prefix). It takes the values behind and its rare values
+   along, so a list compares its members by what they share, and only pairs that share ``c`` leave it. A list
    too long for one task is split by its members' next values, in the same way and as often as need
    be; if most of its members share much, splitting would not shrink it, and it is met block against
    block. No list is capped and no class left out, so steps 3 and 4 are exact.
@@ -100,10 +100,15 @@ def sketched(df: DataFrame, key: str, text: str, k: int = K) -> DataFrame:
 
 
 def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes, membership): (fp, doc, sk), one row per distinct word sequence, ``doc`` the least key that has it; (key, fp)."""
+    """(classes, membership): (fp, doc, sk, es), one row per distinct word sequence; (key, fp).
+
+    ``doc`` is the least key that has the sequence, ``es`` the upper halves of the sketch's values, moved so
+    that their order as signed numbers is that of the values as unsigned ones.
+    """
     own = rows.groupBy("key").agg(F.min("fp").alias("fp"))
     least = own.groupBy("fp").agg(F.min("key").alias("doc"))
-    return rows.groupBy("fp").agg(F.first("sk").alias("sk")).join(least, "fp"), own
+    upper = F.transform("sk", lambda v: (F.shiftrightunsigned(v, 32) - F.lit(2**31)).cast("int"))
+    return rows.groupBy("fp").agg(F.first("sk").alias("sk")).join(least, "fp").withColumn("es", upper), own
 
 
 # --- candidates --------------------------------------------------------------------------------------
@@ -132,23 +137,31 @@ def _rare_pairs(post: DataFrame, short: int) -> DataFrame:
 
 
 def _common(post: DataFrame, short: int) -> DataFrame:
-    """(doc, need, vs, ws): the common values of each class, rarest first, of those that can have ``need`` in common."""
+    """(doc, need, more, vs, ws, rs) of the classes that can have ``need`` common values in common with another.
+
+    ``vs`` are the common values, rarest first, ``ws`` and ``rs`` the lower halves of the common and of
+    the other values; ``more`` is how many of all values a partner must share.
+    """
     hot = staged(post.groupBy("h").agg(F.count("*").alias("df")).where(F.col("df") > short), "comuns")
     need = F.greatest(F.col("c") - RARE + 1, F.lit(1))
-    d = post.join(small(hot), "h").groupBy("doc", "c").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
-    d = d.select("doc", need.alias("need"), F.col("o.h").alias("vs"), F.transform("o", lambda x: F.shiftright(F.shiftleft(x["h"], 32), 32).cast("int")).alias("ws"))
+    half = F.shiftright(F.shiftleft("h", 32), 32).cast("int")
+    item = F.when(F.col("df").isNotNull(), F.struct("df", "h", half.alias("w")))
+    d = post.join(small(hot), "h", "left").groupBy("doc", "c").agg(
+        F.sort_array(F.collect_list(item)).alias("o"), F.collect_list(F.when(F.col("df").isNull(), half)).alias("rs")
+    )
+    d = d.select("doc", need.alias("need"), F.col("c").alias("more"), F.col("o.h").alias("vs"), F.col("o.w").alias("ws"), "rs")
     return d.where(F.size("vs") >= F.col("need"))
 
 
 def _entries(sets: DataFrame) -> DataFrame:
-    """(path, doc, need, rest): each set in the lists of its prefix, with the values behind and what is needed of them.
+    """(path, doc, need, more, rest, rs): each set in the lists of its prefix, with the values behind and what is needed of them.
 
-    The values behind are compared within a list only, so half of each hash is enough.
+    Values are compared within a list only, so half of each hash is enough.
     """
     prefix = F.slice("vs", F.lit(1), F.size("vs") - F.col("need") + 1)
-    one = sets.select("path", "doc", "need", "ws", F.posexplode(prefix).alias("i", "v"))
+    one = sets.select("path", "doc", "need", "more", "ws", "rs", F.posexplode(prefix).alias("i", "v"))
     rest = F.slice("ws", F.col("i") + 2, F.size("ws"))
-    return one.select(F.concat("path", F.array("v")).alias("path"), "doc", (F.col("need") - 1).alias("need"), rest.alias("rest"))
+    return one.select(F.concat("path", F.array("v")).alias("path"), "doc", (F.col("need") - 1).alias("need"), (F.col("more") - 1).alias("more"), rest.alias("rest"), "rs")
 
 
 def _met(docs: np.ndarray, need: np.ndarray, rest: list[np.ndarray], parts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -166,8 +179,7 @@ def _met(docs: np.ndarray, need: np.ndarray, rest: list[np.ndarray], parts: np.n
         left = np.repeat(edge + size, size) - np.arange(len(f)) - 1  # later members of the same value
         x = np.repeat(np.arange(len(f)), left)
         y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(left) - left, left)
-        both = np.bincount(o[x] * n + o[y], minlength=n * n).reshape(n, n) if n else np.zeros((0, 0), np.int64)
-        both = both + both.T
+        both = np.bincount(o[x] * n + o[y], minlength=n * n)  # members stand in order, so i < j
     else:
         both, step = np.zeros((n, n), np.float32), 1024
         code = np.repeat(np.cumsum(several) - 1, size)
@@ -178,11 +190,17 @@ def _met(docs: np.ndarray, need: np.ndarray, rest: list[np.ndarray], parts: np.n
             here = (code >= at) & (code < at + step)
             m[o[here], code[here] - at] = 1
             both += m @ m.T
-    ok = np.triu(both >= np.maximum(need[:, None], need[None, :]), 1) & (docs[:, None] != docs[None, :])
+        both = np.triu(both, 1).ravel()
+    least = int(need.min())
+    if least > 0:
+        at = np.flatnonzero(both >= least)
+    else:  # nothing behind is needed: all pairs
+        at = np.flatnonzero(np.triu(np.ones((n, n), bool), 1))
+    i, j = at // n, at % n
+    ok = (both[at] >= np.maximum(need[i], need[j])) & (docs[i] != docs[j])
     if parts is not None:
-        ok &= parts[:, None] != parts[None, :]
-    i, j = np.nonzero(ok)
-    a, b = docs[i], docs[j]
+        ok &= parts[i] != parts[j]
+    a, b = docs[i[ok]], docs[j[ok]]
     return np.where(a < b, a, b), np.where(a < b, b, a)
 
 
@@ -191,7 +209,8 @@ def _compared(entries: DataFrame, group: list[str], pieces: int) -> DataFrame:
     kind = entries.schema["doc"].dataType.simpleString()
     bucket = F.pmod(F.xxhash64(*group), F.lit(pieces)).cast("int")
     split = "own" in entries.columns
-    d = entries.select(bucket.alias("bucket"), F.xxhash64(*group).alias("g"), "doc", "need", "rest", *(["own", "whole"] if split else []))
+    every = F.concat("rest", "rs").alias("rest")
+    d = entries.select(bucket.alias("bucket"), F.xxhash64(*group).alias("g"), "doc", F.col("more").alias("need"), every, *(["own", "whole"] if split else []))
 
     def compare(t: pa.Table) -> pa.Table:
         t = t.sort_by("g").combine_chunks()
@@ -249,7 +268,7 @@ def _common_pairs(sets: DataFrame, long: int, bucket: int) -> Iterator[DataFrame
         n = kind.where("dense").agg(F.coalesce(F.sum(F.pow(F.col("last") + 1, F.lit(2))), F.lit(0.0))).first()[0]
         if n:
             yield _compared(blocks, ["path", "i", "j"], int(n))
-        sets = big.where("not dense").select("path", "doc", "need", F.col("rest").cast("array<bigint>").alias("vs"), F.col("rest").alias("ws"))
+        sets = big.where("not dense").select("path", "doc", "need", "more", F.col("rest").cast("array<bigint>").alias("vs"), F.col("rest").alias("ws"), "rs")
         sets = staged(sets.where((F.size("vs") >= F.col("need")) & (F.col("need") > 0)), "listas")
         if sets.isEmpty():
             return
@@ -269,17 +288,35 @@ def candidates(table: DataFrame, least: float = LEAST, short: int = SHORT, long:
         return hold(staged(out.distinct(), "candidatos"))
 
 
+def _union_sketch(k: int):
+    @F.arrow_udf("double")
+    def share(x: pa.Array, y: pa.Array) -> pa.Array:
+        n = len(x)
+        wide = np.full((n, 2 * k), 2**62, dtype=np.int64)  # of sketches shorter than k the rest stays larger than any value
+        for at, lists in ((0, x), (k, y)):
+            ends = lists.offsets.to_numpy()
+            size = np.diff(ends)
+            flat = lists.values.to_numpy()[ends[0] : ends[-1]]
+            row = np.repeat(np.arange(n), size)
+            wide[row, at + np.arange(len(flat)) - np.repeat(ends[:-1] - ends[0], size)] = flat
+        wide.sort(axis=1)
+        real = wide < 2**62
+        twice = np.zeros_like(real)
+        twice[:, 1:] = (wide[:, 1:] == wide[:, :-1]) & real[:, 1:]
+        first = (np.cumsum(real & ~twice, axis=1) <= k) & real  # among the k least of both
+        return pa.array((twice & first).sum(axis=1) / np.maximum((first & ~twice).sum(axis=1), 1))
+
+    return share
+
+
 def estimated(cand: DataFrame, table: DataFrame, least: float = LEAST, k: int = K) -> DataFrame:
     """The candidates whose resemblance, estimated on the union sketch, is at least ``least``.
 
     The union sketch is the ``k`` least values of both; the share of it that both retain is the estimate.
     """
-    sk = table.select("doc", "sk")
-    d = cand.join(sk.select(F.col("doc").alias("a"), F.col("sk").alias("x")), "a").join(sk.select(F.col("doc").alias("b"), F.col("sk").alias("y")), "b")
-    # values of one hash function, compared as unsigned numbers: flipping the sign bit keeps that order
-    union = F.slice(F.array_sort(F.transform(F.array_union("x", "y"), lambda v: v.bitwiseXOR(F.lit(-(2**63))))), 1, k)
-    d = d.select("a", "b", union.alias("u"), F.transform(F.array_intersect("x", "y"), lambda v: v.bitwiseXOR(F.lit(-(2**63)))).alias("i"))
-    return d.where(F.size(F.array_intersect("u", "i")) >= F.lit(least) * F.size("u")).select("a", "b").distinct()
+    es = table.select("doc", "es")
+    d = cand.join(es.select(F.col("doc").alias("a"), F.col("es").alias("x")), "a").join(es.select(F.col("doc").alias("b"), F.col("es").alias("y")), "b")
+    return d.withColumn("e", _union_sketch(k)("x", "y")).where(F.col("e") >= least).select("a", "b")
 
 
 def verified(df: DataFrame, key: str, text: str, cand: DataFrame, above: float) -> DataFrame:
