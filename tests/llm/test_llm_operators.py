@@ -452,6 +452,18 @@ def test_cut_texts(spark):
     assert truncation.judged(df.limit(0).select("doc_id", "text")).count() == 0
 
 
+def test_tails_are_found_as_by_the_full_search(spark):
+    """The look at the last two characters spares only texts in which the full search finds nothing."""
+    rng = random.Random(12)
+    bits = ["fim", "a", "á", "n\u0303", ".", "..", "...", "…", "[...]", "(…", "</text>", "</T", "\ufffd", "Ã", "Â", "\u00e2\u0080", "\u00e2", "!", "?", " ", "\n", "\r\n", "\u00a0", "7", "<", ">", ")"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 6))) for _ in range(3000)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string").createOrReplaceTempView("caudas")
+    gated = spark.sql(truncation.TEXTS[2].replace("{layer}", "caudas"))
+    full = spark.sql(f"SELECT doc_id, regexp_replace(t, '{truncation._TAIL}', '') AS t FROM caudas")
+    assert rows(gated, "doc_id", "t") == rows(full, "doc_id", "t")
+    spark.catalog.dropTempView("caudas")
+
+
 def test_copies_of_a_cut_text_do_not_vouch(spark):
     rng = random.Random(9)
     part = lambda: rng.choice(["O paciente", "A criança", "O idoso"]) + " deve tomar água durante " + rng.choice(["a viagem", "o banho", "a noite"])
