@@ -100,10 +100,12 @@ ENDINGS = f"""
 SELECT doc_id, kind, get(w, 0) AS t1, get(w, 1) AS t2, get(w, 2) AS t3
 FROM (SELECT doc_id, kind, {_FOLDED.replace('{a}', "slice(concat(array('^', '^'), a), -3, 3)")} AS w FROM {{last_lines}})
 """
+# Only of tokens that some text ends in.
 PREFIXES = """
-SELECT kind, t1, t2, p, sum(n) AS px
-FROM {trigrams} LATERAL VIEW explode(transform(sequence(1, length(t3) - 1), i -> substring(t3, 1, i))) AS p
-WHERE length(t3) > 1 GROUP BY kind, t1, t2, p
+SELECT x.kind, t1, t2, x.p, sum(n) AS px
+FROM (SELECT kind, t1, t2, n, explode(transform(sequence(1, length(t3) - 1), i -> substring(t3, 1, i))) AS p FROM {trigrams} WHERE length(t3) > 1) x
+LEFT SEMI JOIN (SELECT DISTINCT kind, t3 FROM {endings}) y ON y.kind = x.kind AND y.t3 = x.p
+GROUP BY x.kind, t1, t2, x.p
 """
 # Endings in a sentence mark need their own trigram only; all others are joined to every kind of evidence.
 VERDICTS = """
@@ -172,7 +174,7 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     view("last_lines", sql(LAST_LINES))
     view("trigrams", staged(sql(TRIGRAMS), "trigramas"))
     view("endings", staged(sql(ENDINGS), "finais").where("t3 IS NOT NULL"))  # no token: a blank text
-    view("prefixes", sql(PREFIXES))
+    view("prefixes", staged(sql(PREFIXES), "inicios"))
     # as many rows as there are distinct endings of cut texts; broadcast only where counted to be few
     view("cut", small(staged(sql(VERDICTS).where("regra > 0"), "cortes")))
     out = sql(CUT)
