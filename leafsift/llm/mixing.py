@@ -7,16 +7,25 @@ target and which stay within the cap:
     minimise sum r ln r - r   subject to   sum r_i t_i = T,   0 <= r_i <= cap
 
 whose solution is the tilted rate r_i = min(cap, exp(lambda t_i)). The convex dual has one variable
-for each line; all are solved at once by safeguarded Newton iterations, each of which is one
-distributed sum over a histogram of (source, token count). Only one number per plan line returns to
-the driver. Rates become copies by rounding with a hash of the document as the random part, so a
-rate's copies are floor or ceiling of it and their expectation is the rate.
+for each line. All are solved at once by safeguarded Newton iterations, each of which is one
+distributed sum over a histogram of (source, token count), at ``TRIALS`` multipliers of every line at
+once; only those sums return to the driver. The dual also tells which lines can't be reached: where
+every document stands at the cap (no curvature is left) and the tokens still fall short, it has no
+maximum.
+
+Rates become copies by systematic rounding: in the order of their tokens, a source's documents of one
+rate get their share of whole copies, carried from one token count to the next, so the tokens of a
+source are off by a few documents at most, however many it has. Which documents of one token count
+get the extra copy is decided by the rank of a hash; ranks are counted by parts of the hash, so that
+a token count held by a third of all documents is no task of its own.
 
 Defined results
   * Lines with null weight are no part of the mix; weights are shares of the plan's non-null sum.
   * Lines of a plan that name a source twice are merged: weights add, the larger cap holds.
-  * A line wanting more than cap times its source's tokens is ``inalcancavel``: every document is
-    repeated up to the cap, and the reached share is reported. A source without tokens reaches 0.
+  * ``estado``: ``alcancado``; ``inalcancavel``, wanting more than cap times its source's tokens (every
+    document is repeated up to the cap, and a source without tokens reaches 0); ``limite``, wanting
+    just that; ``zero``, wanting nothing; ``nao_convergiu``, open after ``STEPS`` iterations, with
+    ``residuo``, what is missing relative to the target.
   * A share of 0 takes nothing. Documents with no tokens or null source are never drawn (a null
     source in the plan matches nothing). Repeated documents are drawn each by itself.
 """
@@ -28,9 +37,11 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
 from leafsift.session import staged
 
-STEPS = 60
+STEPS, TRIALS, PARTS = 60, 4, 1024
 TOLERANCE = 1e-9
 PLAN_LINES = 100_000
 
@@ -57,18 +68,45 @@ def token_histogram(docs: DataFrame, tokens: str = "n_tokens") -> DataFrame:
     )
 
 
-def balance(hist: DataFrame, lines: DataFrame, size: float | None = None) -> DataFrame:
-    """Solve all lines: (plano_id, source, cota, limite, alvo, disponivel, lambda, alcancado, estado).
+def _sums(hist: DataFrame, now: list[tuple]) -> dict[tuple[int, int], tuple[float, float]]:
+    """(tokens reached, their derivative by the multiplier) of (line, trial, source, multiplier, cap, scale)."""
+    at = hist.sparkSession.createDataFrame(now, "linha int, vez int, source string, l double, limite double, maior double")
+    # exp is capped in its argument so that no rate overflows before the cap applies
+    z = F.least(F.col("l") * F.col("t") / F.col("maior"), F.lit(700.0))
+    free = (F.col("limite") > 0) & (z < F.log(F.greatest("limite", F.lit(1e-300))))
+    grow = F.exp(z) * F.col("t") * F.col("n")
+    got = (
+        hist.where("t > 0")
+        .join(F.broadcast(at), "source")  # TRIALS rows for each open plan line, of which there are at most PLAN_LINES
+        .groupBy("linha", "vez")
+        .agg(F.sum(F.when(free, grow).otherwise(F.col("limite") * F.col("t") * F.col("n"))).alias("g"), F.sum(F.when(free, grow * F.col("t") / F.col("maior")).otherwise(0.0)).alias("h"))
+        .collect()
+    )
+    return {(r["linha"], r["vez"]): (r["g"], r["h"]) for r in got}
+
+
+def _next(x: dict) -> float:
+    """The next multiplier of a line: Newton on ln g, which is closer to a line than g, or else a step that keeps the bracket."""
+    g, h = x["alcancado"], x["h"]
+    at = x["lambda"] + (math.log(x["alvo"]) - math.log(g)) * g / h if g > 0 and h > 0 else None
+    lo, hi = x["lo"], x["hi"]
+    if at is not None and abs(at - x["lambda"]) < 1e6 and (lo is None or at > lo) and (hi is None or at < hi):
+        return at
+    if lo is None:
+        return min(2 * hi, hi - 1.0) if hi < 0 else hi - 1.0
+    if hi is None:
+        return max(2 * lo, lo + 1.0)
+    return (lo + hi) / 2
+
+
+def balance(hist: DataFrame, lines: DataFrame, size: float | None = None, steps: int = STEPS) -> DataFrame:
+    """Solve all lines: (plano_id, source, cota, limite, alvo, disponivel, maior, lambda, alcancado, estado, residuo).
 
     ``lines`` is a table of settings and must fit the driver (checked); the histogram stays
     distributed and is summed once per iteration.
     """
     spark = hist.sparkSession
-    sums = hist.groupBy("source").agg(
-        F.sum(F.col("t") * F.col("n")).alias("disponivel"),
-        F.sum("n").alias("docs"),
-        F.max("t").alias("maior"),
-    )
+    sums = hist.groupBy("source").agg(F.sum(F.col("t") * F.col("n")).alias("disponivel"), F.max("t").alias("maior"))
     total = hist.agg(F.coalesce(F.sum(F.col("t") * F.col("n")), F.lit(0)).alias("todos"))
     rows = (
         lines.join(sums, "source", "left")
@@ -80,104 +118,86 @@ def balance(hist: DataFrame, lines: DataFrame, size: float | None = None) -> Dat
             "limite",
             (F.col("cota") * (F.col("todos") if size is None else F.lit(float(size)))).alias("alvo"),
             F.coalesce("disponivel", F.lit(0)).cast("double").alias("disponivel"),
-            F.coalesce("maior", F.lit(0)).cast("double").alias("maior"),
+            F.greatest(F.coalesce("maior", F.lit(0)), F.lit(1)).cast("double").alias("maior"),
         )
         .limit(PLAN_LINES + 1)
         .collect()
     )
     if len(rows) > PLAN_LINES:
         raise ValueError(f"more than {PLAN_LINES} plan lines")
-    lines_now = []
+    solved = []
     for k, r in enumerate(rows):
-        x = r.asDict() | {"linha": k, "lambda": 0.0, "lo": None, "hi": None, "alcancado": 0.0}
-        most = x["limite"] * x["disponivel"]
-        if x["alvo"] <= 0:
-            x |= {"estado": "zero"}
-        elif x["alvo"] > most:
-            x |= {"estado": "inalcancavel", "alcancado": most}
-        elif most - x["alvo"] <= TOLERANCE * most:
-            x |= {"estado": "limite", "alcancado": most}
-        else:
-            x |= {"estado": "aberto"}
-        lines_now.append(x)
-    for _ in range(STEPS):
-        todo = [x for x in lines_now if x["estado"] == "aberto"]
+        x = r.asDict() | {"linha": k, "lambda": 0.0, "lo": None, "hi": None, "alcancado": 0.0, "h": 0.0}
+        solved.append(x | {"estado": "zero" if x["alvo"] <= 0 else "aberto"})
+    for _ in range(steps):
+        todo = [x for x in solved if x["estado"] == "aberto"]
         if not todo:
             break
-        now = spark.createDataFrame(
-            [(x["linha"], x["source"], x["lambda"], x["limite"], x["maior"]) for x in todo],
-            "linha int, source string, l double, limite double, maior double",
-        )
-        # exp is capped in its argument so that no rate overflows before the cap applies
-        z = F.least(F.col("l") * F.col("t") / F.col("maior"), F.lit(700.0))
-        free = z < F.log("limite")
-        rate = F.when(free, F.exp(z)).otherwise(F.col("limite"))
-        got = (
-            hist.where("t > 0")
-            .join(F.broadcast(now), "source")  # one row per open plan line
-            .groupBy("linha")
-            .agg(
-                F.sum(rate * F.col("t") * F.col("n")).alias("g"),
-                F.sum(F.when(free, F.exp(z) * F.col("t") * F.col("t") / F.col("maior") * F.col("n")).otherwise(0.0)).alias("h"),
-            )
-            .collect()
-        )
-        by = {r["linha"]: r for r in got}
+        trials = {}
         for x in todo:
-            g, h = by[x["linha"]]["g"], by[x["linha"]]["h"]
-            x["alcancado"] = g
+            first = x["lambda"]
+            # besides Newton's own point, points beyond it and towards the ends of the bracket
+            lo, hi = (first - 4.0 if x["lo"] is None else x["lo"]), (first + 64.0 if x["hi"] is None else x["hi"])
+            trials[x["linha"]] = [first, (first + hi) / 2, (first + lo) / 2, hi if x["hi"] is None else (3 * first + hi) / 4][:TRIALS]
+        got = _sums(hist, [(x["linha"], v, x["source"], l, x["limite"], x["maior"]) for x in todo for v, l in enumerate(trials[x["linha"]])])
+        for x in todo:
+            tried = sorted((l, *got.get((x["linha"], v), (0.0, 0.0))) for v, l in enumerate(trials[x["linha"]]))
+            for l, g, h in tried:
+                if h == 0 and g <= x["alvo"] * (1 + TOLERANCE) and l >= 0:  # all at the cap, or nothing to draw from
+                    short = x["alvo"] > g
+                    x |= {"alcancado": g, "estado": "inalcancavel" if short else "limite"}
+                    break
+                if g < x["alvo"] and (x["lo"] is None or l > x["lo"]):
+                    x["lo"] = l
+                if g >= x["alvo"] and (x["hi"] is None or l < x["hi"]):
+                    x["hi"] = l
+            if x["estado"] != "aberto":
+                continue
+            l, g, h = min((t for t in tried if t[1] > 0), key=lambda t: abs(math.log(t[1] / x["alvo"])), default=tried[0])
+            x |= {"lambda": l, "alcancado": g, "h": h}
             if abs(g - x["alvo"]) <= TOLERANCE * x["alvo"]:
                 x["estado"] = "alcancado"
-                continue
-            if g < x["alvo"]:
-                x["lo"] = x["lambda"]
+            elif x["lo"] is not None and x["hi"] is not None and x["hi"] - x["lo"] <= 1e-13 * max(1.0, abs(x["hi"])):
+                x["estado"] = "alcancado"  # the sum steps over the target within the last digit of the multiplier
             else:
-                x["hi"] = x["lambda"]
-            # Newton on ln g: the sum is log-convex in lambda, so this step converges faster from
-            # far below than one on g; a step outside the bracket is replaced by bisection.
-            step = (math.log(x["alvo"]) - math.log(g)) * g / h if g > 0 and h > 0 else None
-            at = x["lambda"] + step if step is not None and abs(step) < 1e6 else None
-            lo, hi = x["lo"], x["hi"]
-            if at is None or (lo is not None and at <= lo) or (hi is not None and at >= hi):
-                if lo is None:
-                    at = min(2 * hi, hi - 1.0) if hi < 0 else hi - 1.0
-                elif hi is None:
-                    at = max(2 * lo, lo + 1.0)
-                else:
-                    at = (lo + hi) / 2
-            x["lambda"] = at
-            if lo is not None and hi is not None and hi - lo <= 1e-13 * max(1.0, abs(hi)):
-                x["estado"] = "alcancado"
-    for x in lines_now:
+                x["lambda"] = _next(x)
+    for x in solved:
         if x["estado"] == "aberto":
-            x["estado"] = "alcancado"
+            x["estado"] = "nao_convergiu"
+        x["residuo"] = (x["alvo"] - x["alcancado"]) / x["alvo"] if x["alvo"] > 0 else 0.0
+    cols = ("plano_id", "source", "cota", "limite", "alvo", "disponivel", "maior", "lambda", "alcancado", "estado", "residuo")
     return spark.createDataFrame(
-        [
-            (x["plano_id"], x["source"], x["cota"], x["limite"], float(x["alvo"]), x["disponivel"], x["maior"], x["lambda"], float(x["alcancado"]), x["estado"])
-            for x in lines_now
-        ],
+        [tuple(x[c] for c in cols) for x in solved],
         "plano_id int, source string, cota double, limite double, alvo double, disponivel double, maior double, "
-        "lambda double, alcancado double, estado string",
+        "lambda double, alcancado double, estado string, residuo double",
     )
 
 
 def draw(docs: DataFrame, solved: DataFrame, key: str = "doc_id", tokens: str = "n_tokens") -> DataFrame:
     """(plano_id, key, source, n_tokens, copias): the mix of every plan; rows without copies are left out."""
-    z = F.least(F.col("lambda") * F.col(tokens) / F.col("maior"), F.lit(700.0))
+    z = F.least(F.col("lambda") * F.col("t") / F.col("maior"), F.lit(700.0))
     rate = (
         F.when(F.col("estado") == "zero", 0.0)
         .when(F.col("estado").isin("inalcancavel", "limite"), F.col("limite"))
         .otherwise(F.least(F.exp(z), F.col("limite")))
     )
-    u = F.pmod(F.xxhash64(F.col(key), F.col("plano_id")), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    d = docs.where(F.col(tokens) > 0).select(key, "source", tokens)
-    return (
-        d.join(F.broadcast(solved), "source")  # one row per plan line, checked in balance()
-        .withColumn("taxa", rate)
-        .withColumn("copias", (F.floor("taxa") + F.when(u < F.col("taxa") - F.floor("taxa"), 1).otherwise(0)).cast("int"))
-        .where("copias > 0")
-        .select("plano_id", key, "source", tokens, "copias")
-    )
+    part = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(PARTS)).cast("int")
+    d = docs.where((F.col(tokens) > 0) & F.col("source").isNotNull()).select(key, "source", F.col(tokens).alias("t"), part.alias("parte"))
+    counts = d.groupBy("source", "t", "parte").agg(F.count("*").alias("m"))
+    before = Window.partitionBy("source", "t").orderBy("parte").rowsBetween(Window.unboundedPreceding, -1)
+    cells = counts.withColumn("antes", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    own = Window.partitionBy("source", "t", "parte").orderBy(F.xxhash64(F.col(key), F.lit(11)), key)
+    ranked = d.withColumn("r", F.row_number().over(own)).join(cells, ["source", "t", "parte"]).select(key, "source", "t", (F.col("r") + F.col("antes")).alias("lugar"))
+    hist = counts.groupBy("source", "t").agg(F.sum("m").alias("n"))
+    plan = hist.join(F.broadcast(solved), "source").withColumn("taxa", rate)  # one row per plan line, checked in balance()
+    part_of = F.col("n") * (F.col("taxa") - F.floor("taxa"))
+    upto = F.sum(part_of).over(Window.partitionBy("plano_id", "source").orderBy("t"))
+    plan = plan.withColumn("ate", F.round(upto, 6))
+    extra = F.floor(F.col("ate") + 0.5) - F.floor(F.round(F.col("ate") - part_of, 6) + 0.5)
+    plan = plan.select("plano_id", "source", "t", F.floor("taxa").alias("todas"), extra.alias("extra")).where("todas > 0 or extra > 0")
+    d = ranked.join(plan, ["source", "t"])
+    copies = (F.col("todas") + F.when(F.col("lugar") <= F.col("extra"), 1).otherwise(0)).cast("int")
+    return d.select("plano_id", key, "source", F.col("t").alias(tokens), copies.alias("copias")).where("copias > 0")
 
 
 def shares(drawn: DataFrame, solved: DataFrame, tokens: str = "n_tokens") -> DataFrame:
@@ -198,6 +218,7 @@ def shares(drawn: DataFrame, solved: DataFrame, tokens: str = "n_tokens") -> Dat
             F.coalesce("copias", F.lit(0)).alias("copias"),
             F.coalesce("documentos", F.lit(0)).alias("documentos"),
             "estado",
+            F.round("residuo", 9).alias("residuo"),
         )
     )
 

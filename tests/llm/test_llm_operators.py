@@ -411,11 +411,25 @@ def test_mix(spark):
     got = {(r["plano_id"], r["source"]): r for r in mixing.shares(drawn, solved).collect()}
     for k, r in by.items():
         if r["estado"] == "alcancado":
-            assert got[k]["tokens"] == pytest.approx(r["alvo"], rel=0.06)
+            assert abs(got[k]["tokens"] - r["alvo"]) <= 2 * r["maior"]  # systematic rounding: a document or two
+            assert got[k]["tokens"] == pytest.approx(r["alvo"], rel=0.01)
     limits = {(p, s): r["limite"] for (p, s), r in by.items()}
     assert all(0 < r["copias"] <= limits[(r["plano_id"], r["source"])] for r in drawn.collect())
 
 
+def test_states_come_from_the_solver(spark):
+    """Without iterations nothing is told; lines at their very limit are reached; many documents of one size are one cell."""
+    df = spark.createDataFrame([(i, "a", 10) for i in range(3000)] + [(5000 + i, "b", 30) for i in range(100)], "doc_id long, source string, n_tokens long")
+    plan = spark.createDataFrame([(1, "a", 18.0, 1), (1, "b", 15.0, 5), (2, "a", 0.25, 3), (2, "b", 0.75, 5), (3, "a", 10.0, 0)], "plano_id int, source string, peso double, max_repeticoes int")
+    hist, lines = mixing.token_histogram(df), mixing.plan_lines(plan)
+    assert {r["estado"] for r in mixing.balance(hist, lines, steps=0).collect()} == {"nao_convergiu"}
+    solved = mixing.balance(hist, lines)
+    state = {(r["plano_id"], r["source"]): r["estado"] for r in solved.collect()}
+    assert state == {(1, "a"): "alcancado", (1, "b"): "limite", (2, "a"): "alcancado", (2, "b"): "inalcancavel", (3, "a"): "inalcancavel"}
+    got = {(r["plano_id"], r["source"]): r["tokens"] for r in mixing.shares(mixing.draw(df, solved), solved).collect()}
+    assert got == {(1, "a"): 18_000, (1, "b"): 15_000, (2, "a"): 8_250, (2, "b"): 15_000, (3, "a"): 0}
+
+
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, source string, n_tokens long")
     plan = spark.createDataFrame([(1, "a", 1.0, 2)], "plano_id int, source string, peso double, max_repeticoes int")
