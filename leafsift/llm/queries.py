@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafsift.llm import borda, canonical, encoding, mixing, near_duplicates, reading, splitting, truncation
 from leafsift.session import spread, staged
+from leafsift.sources.files import latest_by
 from leafsift.sources.tables import table
 
 FIELDS = ("conteudo_original", "conteudo_simplificado")
@@ -69,15 +70,30 @@ def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
 # --- p3: splitting -------------------------------------------------------------------------------
 
 
-def _texts(spark: SparkSession, d: str) -> DataFrame:
-    """(bula_id, campo, texto) of every filled text; repeated deliveries are still there."""
-    b = table(spark, d, "bulas")
+FEW_REPEATED = 1_000_000
+
+
+def _delivered_once(b: DataFrame) -> DataFrame:
+    """The latest delivery of each leaflet. Only leaflets delivered again are moved for that.
+
+    Their ids are broadcast if they are at most ``FEW_REPEATED``; beyond that all rows are shuffled once.
+    """
+    order = [F.desc_nulls_last("carregado_em")]
+    again = staged(b.groupBy("bula_id").count().where("count > 1").select("bula_id"), "repetidas")
+    if again.limit(FEW_REPEATED + 1).count() > FEW_REPEATED:
+        return latest_by(b, ["bula_id"], order)
+    again = F.broadcast(again)
+    return b.join(again, "bula_id", "left_anti").unionByName(latest_by(b.join(again, "bula_id", "left_semi"), ["bula_id"], order))
+
+
+def _texts(b: DataFrame) -> DataFrame:
+    """(bula_id, campo, texto) of every text."""
     fields = F.array(*[F.struct(F.lit(c).alias("campo"), F.col(c).alias("texto")) for c in FIELDS])
     return b.select("bula_id", F.inline(fields)).where(F.col("texto").isNotNull())
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    long = _texts(spark, d).where(F.length("texto") > splitting.LIMIT)
+    long = _texts(table(spark, d, "bulas")).where(F.length("texto") > splitting.LIMIT)
     cut = splitting.with_cuts(long, "texto").where(F.size("cortes") > 1)
     forced = F.exists("cortes", lambda c: c["forcado"])
     return (
@@ -88,8 +104,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
-    pieces = splitting.split_texts(_texts(spark, d), "texto")
-    return pieces.dropDuplicates(["bula_id", "campo", "parte"])
+    return splitting.split_texts(_texts(_delivered_once(table(spark, d, "bulas").select("bula_id", "carregado_em", *FIELDS))), "texto")
 
 
 # --- p4: near-duplicates ------------------------------------------------------------------------

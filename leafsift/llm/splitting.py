@@ -14,6 +14,8 @@ Defined results
     or anywhere if it has none; those pieces and the text are marked ``forcado``.
   * Pieces carry offsets into the stored text, so their own parts (``ini_nucleo`` to ``fim``)
     tile the stripped text without loss.
+  * White space before a stretch kept whole that does not fit the limit with it is left out, the only
+    characters that are in no piece.
   * Repeated rows give repeated pieces; extra columns pass through, those with a name that the
     result needs are replaced.
 """
@@ -135,8 +137,9 @@ def bisect_text(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) ->
             start = a
         else:
             start = max(before, a - max(0, min(overlap, limit - (b - a))))
-            if b - start > limit:
+            if b - start > limit:  # only white space before what is kept whole can be too much
                 start = b - limit
+                a = max(a, start)
         out.append((lead + start, lead + a, lead + b, forced))
         before = start
     return out

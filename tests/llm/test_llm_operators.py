@@ -144,6 +144,15 @@ def test_pieces(text):
             assert q[1] - q[0] == overlap
 
 
+def test_white_space_before_a_kept_stretch():
+    text = "a" * 50 + "." + " " * 40 + "b" * 58 + ". " + "c" * 20
+    for limit, overlap in ((60, 10), (60, 5), (80, 30)):
+        parts = splitting.bisect_text(text, limit, overlap)
+        assert all(a <= n <= b and b - a <= limit for a, n, b, _ in parts)
+        held = set().union(*(range(n, b) for _, n, b, _ in parts))
+        assert all(text[i] == " " for i in set(range(len(text))) - held)
+
+
 def test_split_rows(spark):
     long = "  " + "Frase de teste número um. " * 100 + "\n"
     df = spark.createDataFrame([(1, long, "x"), (2, " curto ", "y"), (3, None, None), (4, "", "z"), (5, "\n ", "z"), (6, "a" * 3000, "")], "k int, t string, parte string")
