@@ -104,25 +104,3 @@ def letters(s: str) -> str:
 def placeholder(s: str) -> bool:
     b = re.sub(r"[^a-z0-9 ]", "", plain(s)).strip()
     return b in PLACEHOLDERS or not re.search(r"[a-z]", b)
-
-
-def grams(s: str) -> list[str]:
-    """Distinct pairs of neighbouring letters, ends marked."""
-    s = f"^{s}$"
-    return list(dict.fromkeys(s[i : i + 2] for i in range(len(s) - 1)))
-
-
-def edits(a: str, b: str) -> int:
-    """Insertions, deletions, substitutions and swaps of neighbours."""
-    if a == b:
-        return 0
-    before, last = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            v = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if before and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                v = min(v, before[j - 2] + 1)
-            row.append(v)
-        before, last = last, row
-    return last[-1]

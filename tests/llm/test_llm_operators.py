@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from leafsift.llm import borda, bpe, canonical, encoding, mixing, names, near_duplicates, reading, shingles, splitting, truncation
+from leafsift.llm import borda, bpe, canonical, encoding, mixing, near_duplicates, reading, shingles, splitting, truncation
 from leafsift.llm.boosting import fit, thresholds
 
 
@@ -90,20 +90,25 @@ def test_brand_lines(spark):
     assert got == {"ZADRLNEN PLUS® 20 mg": 2, "zadrilnenplus gotas": 2, "Zadrilnem 5 mg/ml": 1}
 
 
+def _jaccard_of_runs(a, b, size):
+    a, b = ({w[i : i + size] for i in range(max(len(w) - size + 1, 1))} for w in (f"^{a}$", f"^{b}$"))
+    return len(a & b) / len(a | b)
+
+
 def test_prefix_join_loses_nothing(spark):
     rng = random.Random(5)
-    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(3, 9)))
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 9)))
     left, right = sorted({word() for _ in range(80)}), sorted({word() for _ in range(40)})
-    v = spark.createDataFrame([(w,) for w in left], "nucleo string")
-    e = spark.createDataFrame([(i, w) for i, w in enumerate(right)], "ref_id long, nucleo string")
-    got = {r["nucleo"]: (round(r["jaccard"], 9)) for r in canonical.similar_entries(v, e, 0.3, 9.0).collect()}
-    want = {}
-    for w in left:
-        a = set(names.grams(w))
-        best = max(len(a & set(names.grams(x))) / len(a | set(names.grams(x))) for x in right)
-        if best >= 0.3:
-            want[w] = round(best, 9)
-    assert got == want
+    v = spark.createDataFrame([("n", w) for w in left], "tipo string, forma string")
+    e = spark.createDataFrame([(i, "n", w) for i, w in enumerate(right)], "ref_id long, tipo string, forma string")
+    for t in (0.12, 0.3):
+        got = {r["forma"]: round(r["pares"], 9) for r in canonical.similar_entries(v, e, t, 9.0).collect()}
+        want = {}
+        for w in left:
+            near = [_jaccard_of_runs(w, x, 2) for x in right if _jaccard_of_runs(w, x, 3) >= t]
+            if max(near, default=0) >= canonical.LEAST_PAIRS:
+                want[w] = round(max(near), 9)
+        assert got == want
 
 
 # --- p3 ------------------------------------------------------------------------------------------
