@@ -128,27 +128,29 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _filled_texts(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "bulas").select("bula_id", "id", *FIELDS)
+    b = table(spark, d, "bulas").select("bula_id", "id", "tipo", *FIELDS)
     fields = F.array(*[F.struct(F.lit(c).alias("campo"), F.col(c).alias("texto")) for c in FIELDS])
-    return spread(b).select("bula_id", "id", F.inline(fields)).where(near_duplicates.filled(F.col("texto")))
+    return spread(b).select("bula_id", "id", "tipo", F.inline(fields)).where(near_duplicates.filled(F.col("texto")))
 
 
-def _levels(spark: SparkSession, d: str):
+SOURCES = ("campo", "tipo")
+
+
+def _labelled(spark: SparkSession, d: str) -> list:
     keys = ["bula_id", "campo"]
-    sample = reading.training_sample(_filled_texts(spark, d), table(spark, d, "rotulos_leitura"), keys, "nivel", "id")
-    return reading.train(sample, keys)
+    sample = reading.training_sample(_filled_texts(spark, d), table(spark, d, "rotulos_leitura"), keys, "nivel", "id", sources=SOURCES)
+    return reading.collected(sample, keys)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    model, _ = _levels(spark, d)
-    got = reading.predicted(_filled_texts(spark, d).drop("id"), model, splitting.LIMIT)
+    model = reading.train(_labelled(spark, d))
+    got = reading.predicted(_filled_texts(spark, d).drop("id", "tipo"), model, splitting.LIMIT)
     got = got.dropDuplicates(["bula_id", "campo"])
     return got.join(table(spark, d, "rotulos_leitura").select("bula_id", "campo"), ["bula_id", "campo"], "left_anti")
 
 
 def p5_validation(spark: SparkSession, d: str) -> DataFrame:
-    model, rows = _levels(spark, d)
-    return reading.report(rows, model, spark)
+    return reading.report(_labelled(spark, d), spark, SOURCES)
 
 
 # --- p6: encoding --------------------------------------------------------------------------------

@@ -346,19 +346,27 @@ def test_levels_held_out(spark):
     data = [(i, "c", f"d{i % 40}", text(1 + i % 4), 1 + i % 4) for i in range(320)]
     df = spark.createDataFrame(data, "k long, campo string, id string, texto string, certo int")
     labels = df.where("k < 240").select("k", "campo", F.col("certo").alias("nivel"))
-    model, got = reading.train(reading.training_sample(df, labels, ["k", "campo"], "nivel", "id"), ["k", "campo"])
+    keys = ["k", "campo"]
+    got = reading.collected(reading.training_sample(df, labels, keys, "nivel", "id"), keys)
+    model = reading.train(got)
     assert len(got) == 240
     out = reading.predicted(df.where("k >= 240"), model).collect()
     assert len(out) == 80 and np.mean([r["nivel"] == r["certo"] for r in out]) > 0.85
-    assert rows(reading.report(got, model, spark), "fonte", "textos") == [("c", 240)]
-    none, _ = reading.train(reading.training_sample(df, labels.limit(0), ["k", "campo"], "nivel", "id"), ["k", "campo"])
-    assert none is None and reading.predicted(df, None).where("nivel is not null").count() == 0
+    two = df.withColumn("fonte", F.when(F.col("k") % 3 == 0, "a").otherwise("b"))
+    parts = reading.collected(reading.training_sample(two, labels, keys, "nivel", "id", sources=("fonte",)), keys)
+    report = reading.report(parts, spark, ("campo", "fonte"))
+    assert rows(report, "prova", "fonte", "textos") == [("dobra", "campo=c", 240), ("fonte", "fonte=a", 80), ("fonte", "fonte=b", 160)]
+    assert all(r["exatos"] > 0.8 for r in report.collect())
+    none = reading.train(reading.collected(reading.training_sample(df, labels.limit(0), keys, "nivel", "id"), keys))
+    assert none is None and reading.report([], spark, ("campo",)).count() == 0 and reading.predicted(df, None).where("nivel is not null").count() == 0
 
 
 def test_features_of_any_text():
     for t in ("x", "...", "a" * 100_000, "Uma frase.\n" * 3, "1,5 mg"):
         f = reading.features(t)
         assert len(f) == len(reading.NAMES) and np.isfinite(f).all()
+    at = reading.NAMES.index("sentences")
+    assert reading.features("Tome 2.5 mg hoje. Pare.\nFim!")[at] == pytest.approx(math.log1p(3))
 
 
 # --- p6 ------------------------------------------------------------------------------------------
