@@ -6,8 +6,9 @@ import argparse
 import sys
 import time
 
-from leafsift.operators import search, synonyms
-from leafsift.session import build
+from leafsift.config import check_request
+from leafsift.operators import search
+from leafsift.session import build, staged
 from leafsift.sources.files import exists
 
 
@@ -23,15 +24,17 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--json", action="store_true", help="the semantic answer as JSON")
     a = p.parse_args(args)
     spark = build()
-    for t in ("documents", "chunks"):
-        if not exists(spark, f"{a.index}/{t}"):
-            print(f"no {t} in {a.index}", file=sys.stderr)
-            return 1
-    engine = search.Engine(
-        spark.read.parquet(f"{a.index}/documents"), spark.read.parquet(f"{a.index}/chunks"), synonyms.default_groups(spark)
-    )
+    if not exists(spark, f"{a.index}/chunks"):
+        print(f"no chunks in {a.index}", file=sys.stderr)
+        return 1
+    engine = search.Engine.open(spark, a.index)
+    check_request(a.query, a.n, a.min_score, a.min_score_rerank)
     began = time.perf_counter()
-    lex, sem = engine.search(a.query, a.n, a.min_score, a.rerank, a.simplified_only, a.min_score_rerank)
+    lex = staged(engine.lexical_lane(a.query, a.n), "lexica")
+    middle = time.perf_counter()
+    print(f"[tempo] busca lexica: {middle - began:.2f}s", file=sys.stderr)
+    sem = staged(engine.semantic_lane(a.query, a.n, a.min_score, a.rerank, a.simplified_only, a.min_score_rerank), "semantica")
+    print(f"[tempo] busca semantica{', reranker' if a.rerank else ''}: {time.perf_counter() - middle:.2f}s", file=sys.stderr)
     if a.json:
         print(search.answer_json(sem).first()["resposta"])
     else:
@@ -39,7 +42,7 @@ def main(args: list[str] | None = None) -> int:
             print(f"{r['id']} | {r['nome']} | {', '.join(t['termo'] + ' [' + t['campo'] + ']' for t in r['termos_match'])}")
         for r in search.lines(sem).orderBy("posicao").collect():
             print(r["linha"])
-    print(f"[tempo] {time.perf_counter() - began:.2f}s", file=sys.stderr)
+    print(f"[tempo] total: {time.perf_counter() - began:.2f}s", file=sys.stderr)
     return 0
 
 

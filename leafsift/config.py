@@ -43,7 +43,7 @@ NO_BRANDS = ("Anvisa", "MS", "SAC", "Reg")
 
 @dataclass(frozen=True)
 class CorpusType:
-    """One corpus: its map of drugs, its folders and the endings of its file names."""
+    """One corpus: its map of drugs, its folders of tagged leaflets and of bare texts, the endings of its file names."""
 
     tipo: str
     map_csv: str
@@ -51,20 +51,26 @@ class CorpusType:
     simplified_dir: str
     original_suffix: str
     simplified_suffix: str
+    original_texts: str
+    simplified_texts: str
 
 
-# The two corpora under a root folder; other layouts are other CorpusType values. The endings are fixed values.
+# The layout of the two corpora under a root folder. Other layouts are other CorpusType values.
 CORPUS_TYPES = (
     CorpusType(
-        "hipertensao", "mapa_hipertensao.csv", "hipertensao/original", "hipertensao/simplificada",
-        "_original_limpo.txt", "_validada_limpo.txt",
+        "hipertensao", "remedios_ht_map.csv", "csv_metadata/ht/original", "csv_metadata/ht/simplificada",
+        "_original_limpo.txt", "_validada_limpo.txt", "csv/ht/original", "csv/ht/simplificada",
     ),
     CorpusType(
-        "oncologia", "mapa_oncologia.csv", "oncologia/original", "oncologia/simplificada",
-        "_original_limpo.txt", "_simplificada_limpo.txt",
+        "oncologia", "remedios_onco_map.csv", "csv_metadata/onco/original", "csv_metadata/onco/simplificada",
+        "_original_limpo.txt", "_simplificada_limpo.txt", "csv/onco/original", "csv/onco/simplificada",
     ),
 )
 
+# The models a search asks for by default, and the most tokens they read.
+EMBEDDING_MODEL, EMBEDDING_TOKENS = "BAAI/bge-m3", 8192
+RERANKING_MODEL, RERANKING_TOKENS = "BAAI/bge-reranker-v2-m3", 512
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -78,6 +84,8 @@ class Settings:
     rerank_pool: int = field(default_factory=lambda: int(os.getenv("RERANK_POOL_MAX", "30")))
     rerank_min_score: float = field(default_factory=lambda: float(os.getenv("RERANK_MIN_SCORE", "0.1")))
     min_score: float = 0.45
+    metric: str = "cosine"
+    stop_words: tuple[str, ...] = STOP_WORDS
 
     def pool(self, limit: int, count: int) -> int:
         return min(max(limit * self.pool_factor, self.pool_least), count)

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from leafsift.config import METADATA_FIELDS, Settings
 from leafsift.functions.text import chunks as chunk_texts
+from leafsift.operators.lexical import LEX_FIELDS, append_postings, postings
 from leafsift.operators.models import HashingEmbedder, embed
-from leafsift.sources.files import append_chunks, exists, upsert
+from leafsift.session import scratch, staged
+from leafsift.sources.files import append_chunks, exists, latest_by, upsert
 
 CHUNK_ID = r"_(orig|simp)_\d+$"
 
@@ -45,19 +47,26 @@ def cut(leaflets: DataFrame, settings: Settings | None = None) -> DataFrame:
 
 
 def index_leaflets(
-    spark: SparkSession, leaflets: DataFrame, chunks_path: str, documents_path: str, make: Callable = HashingEmbedder, version: str | None = None
+    spark: SparkSession, leaflets: DataFrame, chunks_path: str, documents_path: str, make: Callable = HashingEmbedder,
+    version: str | None = None, postings_path: str | None = None,
 ) -> int:
     """Index what is new; returns the number of new leaflets. A second run adds none.
 
-    Documents are written first and chunks last, and only chunks count as indexed, so a run that
-    breaks off is made good by the next.
+    Of several rows with one id the latest ``version`` is taken; without one, the first by its texts.
+    Documents are written first, then postings, and chunks last, and only chunks count as indexed, so a
+    run that breaks off is made good by the next.
     """
-    new = new_leaflets(leaflets, spark.read.parquet(chunks_path)) if exists(spark, chunks_path) else leaflets
-    new = new.dropDuplicates(["id"])
-    n = new.count()
-    if n:
-        docs = new if version else new.withColumn("versao", F.current_timestamp())
-        upsert(spark, documents_path, docs, "id", version or "versao")
-        made = cut(new)
-        append_chunks(made.withColumn("embedding", embed(F.col("document"), make)), chunks_path)
+    with scratch(spark):
+        order = [F.desc_nulls_last(version)] if version else []
+        new = new_leaflets(leaflets, spark.read.parquet(chunks_path)) if exists(spark, chunks_path) else leaflets
+        new = latest_by(new.where("id is not null"), ["id"], [*order, F.xxhash64("conteudo_original", "conteudo_simplificado")])
+        new = staged(new if version else new.withColumn("versao", F.current_timestamp()), "novas")
+        n = new.count()
+        if n:
+            upsert(spark, documents_path, new, "id", version or "versao")
+            if postings_path:
+                fields = [f for f in LEX_FIELDS if f in new.columns]
+                append_postings(postings(new, "id", fields, positions=True), postings_path, new.select("id"))
+            made = cut(new.drop("versao"))
+            append_chunks(made.withColumn("embedding", embed(F.col("document"), make)), chunks_path)
     return n

@@ -12,9 +12,9 @@ from pyspark.sql.window import Window
 
 from leafsift.config import Settings
 from leafsift.functions.text import sentences, words
-from leafsift.session import parallelism, ship
+from leafsift.session import parallelism, ship, staged
 
-BLOCK_QUERIES, BLOCK_ROWS = 256, 4096
+BLOCK_QUERIES, BLOCK_ROWS, FEW_BLOCKS = 256, 4096, 64
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -24,21 +24,40 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot, norm(a) * norm(b)), F.lit(0.0))
 
 
-def _blocks(df: DataFrame, key: str, vector: str, size: int, name: str, parts: int) -> DataFrame:
-    """Rows packed by ``size``: one row holds many keys and vectors. Order doesn't matter, so no shuffle."""
-    kind = df.schema[key].dataType.simpleString()
-    schema = f"{name}_keys array<{kind}>, {name}_vectors array<array<float>>"
+def _blocks(df: DataFrame, size: int, name: str) -> DataFrame:
+    """Rows packed by ``size``: one row holds many keys, the lengths of their vectors, and all their values as bytes.
 
-    def pack(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for at in range(0, len(pdf), size):
-                p = pdf.iloc[at : at + size]
-                yield pd.DataFrame({f"{name}_keys": [p[key].tolist()], f"{name}_vectors": [[list(v) for v in p[vector]]]})
+    Order doesn't matter, so nothing is shuffled. A null vector is one of length 0.
+    """
+    kind = df.schema["k"].dataType.simpleString()
 
-    d = df.select(key, vector).where(F.size(vector) > 0)
-    return (d.coalesce(parts) if parts else d).mapInPandas(pack, schema)
+    def pack(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for at in range(0, b.num_rows, size):
+                p = b.slice(at, size)
+                lists = p["v"].to_pylist()
+                flat = np.array([x for v in lists if v for x in v], dtype=np.float32)
+                sizes = pa.array([[len(v or ()) for v in lists]], pa.list_(pa.int32()))
+                keys = pa.array([p["k"].to_pylist()], pa.list_(p.schema.field("k").type))
+                yield pa.RecordBatch.from_arrays([keys, sizes, pa.array([flat.tobytes()], pa.binary())], names=[f"{name}_keys", f"{name}_sizes", f"{name}_values"])
+
+    return df.mapInArrow(pack, f"{name}_keys array<{kind}>, {name}_sizes array<int>, {name}_values binary")
+
+
+def _by_size(sizes: list[int], values: bytes) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places and unit vectors of a block, by the length of the vector; vectors of zeros stay zeros."""
+    sizes, flat = np.asarray(sizes), np.frombuffer(values, np.float32).astype(np.float64)
+    ends = np.cumsum(sizes)
+    out = {}
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        if n:
+            m = flat[(ends[at] - n)[:, None] + np.arange(n)]
+            norm = np.linalg.norm(m, axis=1, keepdims=True)
+            out[int(n)] = at, np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+    return out
 
 
 def nearest(
@@ -48,42 +67,47 @@ def nearest(
 
     Queries and rows are packed into blocks and met block against block; each meeting is one matrix
     product whose k best per query go on, so the shuffle carries k rows per query and block of rows.
+    Blocks of queries are broadcast while they are few (``FEW_BLOCKS``); more are met in rounds of as
+    many, so no task ever holds more, and the work, queries times rows, is spread over all tasks.
     """
-    ship(rows.sparkSession)
+    spark = rows.sparkSession
+    ship(spark)
     qt, rt = queries.schema[query_key].dataType.simpleString(), rows.schema[row_key].dataType.simpleString()
-    qs = _blocks(queries.select(F.col(query_key).alias("qk"), F.col(vector).alias("v")), "qk", "v", BLOCK_QUERIES, "q", 1)
-    rs = _blocks(rows.select(F.col(row_key).alias("rk"), F.col(vector).alias("v")), "rk", "v", BLOCK_ROWS, "r", 0)
-    met = rs.repartition(parallelism(rows.sparkSession)).crossJoin(qs)  # blocks, not rows
-
-    def unit(vs) -> np.ndarray:
-        m = np.array([np.asarray(v, dtype=np.float64) for v in vs])
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+    qs = _blocks(queries.select(F.col(query_key).alias("k"), F.col(vector).alias("v")).coalesce(parallelism(spark)), BLOCK_QUERIES, "q")
+    qs = staged(qs.withColumn("rodada", F.floor(F.rand(7) * F.lit(1 << 20)).cast("int")), "perguntas")
+    count = qs.count()
+    rs = _blocks(rows.select(F.col(row_key).alias("k"), F.col(vector).alias("v")), BLOCK_ROWS, "r")
+    rounds = max(-(-count // FEW_BLOCKS), 1)
 
     def best(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for _, b in pdf.iterrows():
-                groups: dict[int, list[int]] = {}
-                for i, v in enumerate(b["r_vectors"]):
-                    groups.setdefault(len(v), []).append(i)
-                qgroups: dict[int, list[int]] = {}
-                for i, v in enumerate(b["q_vectors"]):
-                    qgroups.setdefault(len(v), []).append(i)
+        import pyarrow as pa
+
+        for batch in batches:
+            for b in batch.to_pylist():
                 s = np.zeros((len(b["q_keys"]), len(b["r_keys"])))
-                for n, at in qgroups.items():
-                    if n in groups:
-                        q = unit([b["q_vectors"][i] for i in at])
-                        r = unit([b["r_vectors"][i] for i in groups[n]])
-                        s[np.ix_(at, groups[n])] = q @ r.T
-                s = np.round(s, 9)
+                r = _by_size(b["r_sizes"], b["r_values"])
+                for n, (at, q) in _by_size(b["q_sizes"], b["q_values"]).items():
+                    if n in r:
+                        s[np.ix_(at, r[n][0])] = np.round(q @ r[n][1].T, 9)
                 rk = np.asarray(b["r_keys"])
+                qid, rid, score = [], [], []
                 for i, q in enumerate(b["q_keys"]):
                     order = np.lexsort((rk, -s[i]))[:k]
-                    yield pd.DataFrame({"qid": [q] * len(order), "rid": rk[order], "score": s[i][order]})
-
-    got = met.mapInPandas(best, f"qid {qt}, rid {rt}, score double")
+                    qid += [q] * len(order)
+                    rid += rk[order].tolist()
+                    score += s[i][order].tolist()
+                names = ["qid", "rid", "score"]
+                yield pa.RecordBatch.from_arrays([pa.array(qid, types[0]), pa.array(rid, types[1]), pa.array(score, pa.float64())], names=names)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    types = [to_arrow_type(queries.schema[query_key].dataType), to_arrow_type(rows.schema[row_key].dataType)]
+    got = None
+    for at in range(rounds):
+        some = qs if rounds == 1 else qs.where(F.pmod("rodada", F.lit(rounds)) == at)
+        met = rs.crossJoin(F.broadcast(some.drop("rodada")))  # a bounded number of blocks, not rows
+        one = met.mapInArrow(best, f"qid {qt}, rid {rt}, score double")
+        got = one if got is None else got.unionByName(one)
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "rid")
     return got.withColumn("lugar", F.row_number().over(w)).where(F.col("lugar") <= k)
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafsift.config import CORPUS_TYPES, Settings
 from leafsift.functions import text as tx
-from leafsift.operators import index, lexical, models, parse, prep, synonyms, vector
+from leafsift.operators import index, lexical, models, parse, prep, search, synonyms, vector
 from leafsift.session import keep, shared_dir, spread, staged
 from leafsift.sources import files
 from leafsift.sources.files import latest_by
@@ -61,8 +62,19 @@ def q02_tag_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q03_inner_pair(spark: SparkSession, d: str) -> DataFrame:
-    b = _bulas(spark, d).where(_filled("conteudo_original") & _filled("conteudo_simplificado")).select("bula_id", "id")
-    return b.join(_drugs(spark, d).select("id", "nome"), "id").select("bula_id", "id", "nome")
+    """Both corpora as one: mapped drugs with both files, the files being each drug's leaflet of the least number."""
+    b = latest_by(_bulas(spark, d).where("id is not null"), ["id"], [F.col("bula_id")])
+    out = None
+    for cfg in CORPUS_TYPES:
+        cfg = replace(cfg, tipo={"hipertensao": "ht", "oncologia": "onco"}[cfg.tipo])  # the tables' name of the corpus
+        own = b.where(F.col("id").startswith(cfg.tipo + "_"))
+        number = F.substring("id", F.lit(len(cfg.tipo) + 2), F.length("id"))
+        raw = F.concat(_header(("fabricante", F.col("fabricante"))), F.lit("\n\n<text>\n"), F.col("conteudo_original"), F.lit("\n</text>\n"))
+        originals = own.where(_filled("conteudo_original")).select(F.concat(number, F.lit(cfg.original_suffix)).alias("path"), raw.alias("value"))
+        simplified = own.where(_filled("conteudo_simplificado")).select(F.concat(number, F.lit(cfg.simplified_suffix)).alias("path"), F.col("conteudo_simplificado").alias("value"))
+        ready, _ = prep.indexable(table(spark, d, "drug_map").where(F.col("tipo") == cfg.tipo), originals, simplified, cfg)
+        out = ready if out is None else out.unionByName(ready)
+    return out.select("id", "nome", "tipo", "fabricante", F.md5("conteudo_original").alias("original"), F.md5("conteudo_simplificado").alias("simplificado"))
 
 
 def q04_anti_new(spark: SparkSession, d: str) -> DataFrame:
@@ -102,6 +114,20 @@ def q07b_synonyms(spark: SparkSession, d: str) -> DataFrame:
     return got.select("q", F.col("key").alias("bula_id"))
 
 
+def q07c_lane(spark: SparkSession, d: str) -> DataFrame:
+    """The engine's lexical lane for one request with a term of several words and a term of one."""
+    docs = _bulas(spark, d).select(F.col("bula_id").alias("id"), *LEX_FIELDS)
+    engine = search.Engine(docs, _chunks(spark, d), table(spark, d, "synonyms"))
+    return engine.lexical_lane("Dor de CABEÇA com água", 50).select(F.col("id").alias("bula_id"), F.col("bm25").alias("score"), "posicao")
+
+
+def q07d_lane_all(spark: SparkSession, d: str) -> DataFrame:
+    b = _bulas(spark, d)
+    ix = staged(lexical.postings(b, "bula_id", LEX_FIELDS, positions=True), "indice")
+    s = table(spark, d, "synonyms")
+    return lexical.search_lane(s, ix, s, "term", 10).select("q", F.col("key").alias("bula_id"), "score", "posicao")
+
+
 def q08_positions(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     ws = tx.words(F.col("text"))
@@ -110,7 +136,8 @@ def q08_positions(spark: SparkSession, d: str) -> DataFrame:
     one = lexical.matched_terms(p, ["text"], TERMS)
     return one.select(
         "doc_id", F.size("p").alias("n"), F.col("p")[0]["start"].alias("inicio"), F.col("p")[0]["length"].alias("tamanho"),
-        F.md5(lexical.highlight(F.col("text"), TERMS)).alias("destaque"), F.col("termos_match")[0]["termo"].alias("termo"),
+        F.md5(lexical.highlight(F.col("text"), TERMS)).alias("destaque"),
+        F.array_join(F.transform("termos_match", lambda t: t["termo"]), "|").alias("termos"), F.md5("trecho_match.texto").alias("trecho"),
     )
 
 
@@ -137,16 +164,29 @@ def q10_knn_collapse(spark: SparkSession, d: str) -> DataFrame:
 
 def q11_knn_filtered(spark: SparkSession, d: str) -> DataFrame:
     c = _chunks(spark, d).where("registro = 'simplificada' and id is not null")
-    pool = _pool(spark, c.where("bula_id % 100 = 0 and chunk_idx = 0"), c, "chunk_id", "chunk_id")
+    pool = _pool(spark, c.where("bula_id % 100 = 0"), c, "chunk_id", "chunk_id")
     docs = pool.join(c.select(F.col("chunk_id").alias("rid"), "id"), "rid")
     got = vector.collapse(docs, 5, SET.min_score)
     return got.select("qid", "id", F.round("score", 6).alias("score"), "posicao")
 
 
 def q12_best_sentence(spark: SparkSession, d: str) -> DataFrame:
-    best = vector.best_sentence(F.col("document"), lambda s: vector.overlap_score(F.lit(QUESTION), s))
-    c = _chunks(spark, d).select("chunk_id", best.alias("b")).where("b is not null")
-    return c.select("chunk_id", "b.texto", F.round("b.score", 6).alias("score"))
+    """The sentence of each chunk nearest to a question, by the vectors of the hashing embedder."""
+    vec = models.HashingEmbedder().encode([QUESTION])[0].tolist()
+    best = models.nearest_sentence(tx.sentences(F.col("document"), SET.sentence_chars), vec)
+    c = spread(_chunks(spark, d).select("chunk_id", "document")).select("chunk_id", best.alias("b"))
+    return c.where("b is not null").select("chunk_id", "b.texto", F.round("b.score", 6).alias("score"))
+
+
+def q12b_sentence_reranked(spark: SparkSession, d: str) -> DataFrame:
+    best = models.best_sentence_reranked(tx.sentences(F.col("document"), SET.sentence_chars), QUESTION)
+    c = spread(_chunks(spark, d).select("chunk_id", "document")).select("chunk_id", best.alias("b"))
+    return c.where("b is not null").select("chunk_id", "b.texto", F.round("b.score", 6).alias("score"))
+
+
+def q13b_rerank_model(spark: SparkSession, d: str) -> DataFrame:
+    c = spread(_chunks(spark, d).select("chunk_id", "document"))
+    return c.select("chunk_id", F.round(models.rerank_scores(F.lit(QUESTION), F.col("document")), 6).alias("rerank_score"))
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
@@ -184,8 +224,10 @@ def q16_truncate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q17_embed(spark: SparkSession, d: str) -> DataFrame:
+    """The places and values of each vector that are not zero."""
     c = spread(_chunks(spark, d).select("chunk_id", "document"))
-    return c.select("chunk_id", models.embed(F.col("document")).alias("embedding"))
+    e = c.select("chunk_id", F.posexplode(models.embed(F.col("document"))).alias("lugar", "x")).where("x <> 0")
+    return e.select("chunk_id", "lugar", F.round(F.col("x").cast("double"), 6).alias("valor"))
 
 
 def q18_fold(spark: SparkSession, d: str) -> DataFrame:
@@ -203,8 +245,9 @@ def q21_append(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q22_brand(spark: SparkSession, d: str) -> DataFrame:
-    b = _bulas(spark, d).where("id is not null and nome_comercial is not null")
-    return prep.brands(b, _drugs(spark, d), "id", "nome_comercial", "bula_id")
+    b = _bulas(spark, d).where("id is not null")
+    texts = b.select("id", "bula_id", F.concat_ws("\n", "nome_comercial", "conteudo_original").alias("texto"))
+    return prep.brands(texts, _drugs(spark, d), "id", "texto", "bula_id")
 
 
 def q23_tag_replace(spark: SparkSession, d: str) -> DataFrame:
@@ -217,17 +260,26 @@ def q23_tag_replace(spark: SparkSession, d: str) -> DataFrame:
 
 def q24_rename(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "drug_map").where("id is not null")
-    cfg = CORPUS_TYPES[0]
-    name = F.concat("id", F.lit(cfg.original_suffix))
-    return m.select("linha", parse.renamed(name, cfg).alias("nome_novo"), parse.number_of_file(name).alias("numero"))
+    out = None
+    for cfg in CORPUS_TYPES:
+        originals = m.where(F.col("tipo") == cfg.original_dir.split("/")[1]).select("linha", F.concat("id", F.lit(cfg.original_suffix)).alias("name"), F.lit("").alias("value"))
+        one = originals.select("linha", parse.renamed(F.col("name"), cfg).alias("nome_novo"), parse.number_of_file(F.col("name")).alias("numero"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def q25_response(spark: SparkSession, d: str) -> DataFrame:
-    a = _answers(spark, d)
-    made = F.transform("distances", lambda x: F.round(1 - x, 6))
-    return a.select(
-        "resp_id", F.array_join("ids", ",").alias("ids"), F.size("ids").alias("n"),
-        F.round(F.aggregate(made, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))), 4).alias("soma"),
+    """Answers as they go over the wire, read back."""
+    items = F.transform("ids", lambda x, i: F.struct(
+        (i + 1).alias("posicao"), x.alias("id_chunk"), F.get("distances", i).alias("distancia"), (1 - F.get("distances", i)).alias("score"), F.get("rerank_scores", i).alias("rerank_score")
+    ))
+    a = _answers(spark, d).where("size(ids) > 0").select("resp_id", F.inline(items))
+    read = F.from_json("resposta", "ids array<string>, distances array<double>, scores array<double>, rerank_scores array<double>")
+    r = search.answers_json(a.withColumn("rerank_score", F.when(~F.isnan("rerank_score"), F.col("rerank_score"))), "resp_id").select("resp_id", read.alias("r"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(F.floor(x * 1e6), F.lit(0)))
+    return r.select(
+        "resp_id", F.array_join("r.ids", ",").alias("ids"), F.size("r.ids").alias("n"), total(F.col("r.scores")).alias("soma"),
+        F.size("r.rerank_scores").alias("reavaliados"), total(F.col("r.rerank_scores")).alias("soma_rerank"),
     )
 
 
@@ -238,7 +290,7 @@ def q26_upsert(spark: SparkSession, d: str) -> DataFrame:
     path = keep(spark, f"{shared_dir(spark)}/leafsift-bulas-{uuid.uuid4().hex}")
     for part in (b.where(~second), b.where(second)):
         files.upsert(spark, path, part, "bula_id", "carregado_em")
-    return spark.read.parquet(path).select("bula_id", "id", "fabricante", F.unix_micros("carregado_em").alias("carregado"))
+    return files.read_table(spark, path).select("bula_id", "id", "fabricante", F.unix_micros("carregado_em").alias("carregado"))
 
 
 def q27_arrivals(spark: SparkSession, d: str) -> DataFrame:
@@ -246,4 +298,15 @@ def q27_arrivals(spark: SparkSession, d: str) -> DataFrame:
     return indexing.arrivals(docs, "criado_em").select(F.unix_micros("janela.start").alias("dia"), "linhas")
 
 
+def q28_index_twice(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks stored by the incremental indexing of the leaflets, run twice."""
+    b = _bulas(spark, d).where("id is not null").withColumn("id", F.concat_ws("_", "id", "bula_id"))
+    b = b.select("id", "nome", "tipo", "conteudo_original", "conteudo_simplificado", "fabricante")
+    root = keep(spark, f"{shared_dir(spark)}/leafsift-indice-{uuid.uuid4().hex}")
+    for _ in range(2):
+        index.index_leaflets(spark, b, f"{root}/chunks", f"{root}/documents", postings_path=f"{root}/postings")
+    c = spark.read.parquet(f"{root}/chunks")
+    return c.groupBy("id", "registro").agg(F.count("*").cast("int").alias("n"), F.count_distinct("chunk_id").cast("int").alias("distintos"))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit()}

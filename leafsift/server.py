@@ -11,6 +11,10 @@ from leafsift.operators import search, synonyms
 YES = ("1", "true", "sim", "yes", "on")
 
 
+# The keys of an answer, one for each lane, and one for the synonyms.
+LEXICAL, SYNONYMS, SEMANTIC = "meili", "sinonimos", "chroma"
+
+
 def answer(engine: search.Engine, path: str) -> tuple[int, dict]:
     """(status, body) of a request: 422 for parameters out of range, 503 where the engine fails."""
     url = urlsplit(path)
@@ -32,7 +36,7 @@ def answer(engine: search.Engine, path: str) -> tuple[int, dict]:
         spark = sem.sparkSession
         extras = synonyms.query_synonyms(spark.createDataFrame([(q,)], "q string"), engine.groups).first()["extras"]
         hits = [json.loads(x) for x in lex.orderBy("posicao").toJSON().collect()]  # at most n
-        return 200, {"lexica": hits, "sinonimos": extras, "semantica": json.loads(search.answer_json(sem).first()["resposta"])}
+        return 200, {LEXICAL: hits, SYNONYMS: extras, SEMANTIC: json.loads(search.answer_json(sem).first()["resposta"])}
     except Exception as e:  # noqa: BLE001 - whatever fails inside is the engine being unavailable
         return 503, {"detail": str(e)[:500]}
 
@@ -47,6 +51,8 @@ def serve(engine: search.Engine, host: str = "127.0.0.1", port: int = 8000) -> T
             self.send_response(status)
             self.send_header("Content-Type", "application/json; charset=utf-8")
             self.send_header("Content-Length", str(len(raw)))
+            self.send_header("Access-Control-Allow-Origin", "*")
+            self.send_header("Access-Control-Allow-Methods", "GET")
             self.end_headers()
             self.wfile.write(raw)
 

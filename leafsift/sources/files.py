@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from leafsift.config import CorpusType
+from leafsift.session import staged
 
 MAP_SCHEMA = "id string, nome string"
 
@@ -48,23 +53,103 @@ def append_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("append").partitionBy("registro").parquet(path)
 
 
-def upsert(spark: SparkSession, path: str, new: DataFrame, key: str, version: str) -> None:
-    """Write ``new`` over the stored rows of its keys: a new copy is written, then takes the place of the old.
+BUCKETS = 64
+_MANIFEST = re.compile(r"tabela-(\d+)\.json$")
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _manifest(spark: SparkSession, path: str) -> dict | None:
+    """The newest state of a table: its number, schema, and the folder of each bucket of keys."""
+    p, fs = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    found = [(int(m.group(1)), str(f.getPath())) for f in fs.listStatus(p) if (m := _MANIFEST.search(str(f.getPath())))]
+    if not found:
+        return None
+    return json.loads("".join(r["value"] for r in spark.read.text(max(found)[1], wholetext=True).collect()))
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table written by ``upsert``, as its newest state has it; None if there is none."""
+    state = _manifest(spark, path)
+    if state is None:
+        return None
+    schema = StructType.fromJson(state["schema"])
+    folders = [f"{path}/{v}/balde={b}" for b, v in state["buckets"].items()]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def upsert(spark: SparkSession, path: str, new: DataFrame, key: str, version: str, buckets: int = BUCKETS) -> None:
+    """Write ``new`` over the stored rows of its keys.
 
     Of several rows with one key the latest ``version`` stays, new ones before stored ones of the same.
+    Keys are dealt to buckets by their hash, and only buckets with new keys are written again, beside
+    the stored ones. Then a manifest with the next number names the folder of every bucket; until it
+    stands, readers see the old state, so a run that breaks off changes nothing. Two writers can't
+    both take one number: the later one fails. Folders that no state names any more are deleted.
+    """
+    state = _manifest(spark, path) or {"n": 0, "count": buckets, "schema": None, "buckets": {}}
+    balde = F.pmod(F.xxhash64(key), F.lit(state["count"])).cast("int")
+    new = staged(new.withColumn("__new", F.lit(1)).withColumn("balde", balde), "novas")
+    touched = sorted(r["balde"] for r in new.select("balde").distinct().collect())  # at most ``count``
+    if not touched and state["schema"]:
+        return
+    both = new
+    stored = [f"{path}/{state['buckets'][str(b)]}/balde={b}" for b in touched if str(b) in state["buckets"]]
+    if stored:
+        old = spark.read.schema(StructType.fromJson(state["schema"])).parquet(*stored)
+        both = old.withColumn("__new", F.lit(0)).withColumn("balde", balde).unionByName(new, allowMissingColumns=True)
+    latest = latest_by(both, [key], [F.desc_nulls_last(version), F.desc("__new")]).drop("__new")
+    if state["schema"]:  # columns stored before stay, those of new rows join them
+        names = [f.name for f in StructType.fromJson(state["schema"])]
+        for f in StructType.fromJson(state["schema"]):
+            if f.name not in latest.columns:
+                latest = latest.withColumn(f.name, F.lit(None).cast(f.dataType))
+        latest = latest.select(*names, *[c for c in latest.columns if c not in names])
+    folder = f"v-{uuid.uuid4().hex}"
+    latest.repartition(max(len(touched), 1), "balde").write.partitionBy("balde").parquet(f"{path}/{folder}")
+    held = {**state["buckets"], **{str(b): folder for b in touched}}
+    schema = json.loads(latest.drop("balde").schema.json())
+    made = {"n": state["n"] + 1, "count": state["count"], "schema": schema, "buckets": held}
+    target, fs = _fs(spark, f"{path}/tabela-{made['n']}.json")
+    draft, _ = _fs(spark, f"{path}/_novo-{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(bytearray(json.dumps(made).encode()))
+    out.close()
+    if fs.exists(target) or not fs.rename(draft, target):
+        fs.delete(draft, False)
+        raise OSError(f"another writer has changed {path}; nothing was changed by this one")
+    root, _ = _fs(spark, path)
+    for f in fs.listStatus(root):
+        name = f.getPath().getName()
+        if name.startswith("v-") and name in state["buckets"].values() and name not in held.values() or name == f"tabela-{state['n']}.json":
+            fs.delete(f.getPath(), True)
+
+
+def write_files(df: DataFrame, folder: str) -> int:
+    """Write each (name, value) as a text file of ``folder``, which all machines share; returns how many.
+
+    A file is written beside its place and then moved there, so it is old or new, never half.
     """
-    new = new.withColumn("__new", F.lit(1))
-    if exists(spark, path):
-        new = spark.read.parquet(path).withColumn("__new", F.lit(0)).unionByName(new, allowMissingColumns=True)
-    latest = latest_by(new, [key], [F.desc_nulls_last(version), F.desc("__new")]).drop("__new")
-    fresh = f"{path}.{uuid.uuid4().hex}"
-    latest.write.parquet(fresh)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
-    fs = target.getFileSystem(conf)
-    fs.delete(target, True)
-    if not fs.rename(source, target):
-        raise OSError(f"the new copy stays at {fresh}")
+    def put(batches):
+        import pandas as pd
+        from pyarrow import fs as pafs
+
+        store, base = pafs.FileSystem.from_uri(folder if "://" in folder else "file://" + os.path.abspath(folder))
+        store.create_dir(base, recursive=True)
+        for pdf in batches:
+            for name, value in zip(pdf["name"], pdf["value"]):
+                draft = f"{base}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(draft) as out:
+                    out.write(value.encode("utf-8"))
+                store.move(draft, f"{base}/{name}")
+            yield pd.DataFrame({"name": pdf["name"]})
+
+    return df.select("name", "value").mapInPandas(put, "name string").count()
 
 
 def latest_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -21,6 +21,6 @@ def index_stream(stream: DataFrame, chunks_path: str, documents_path: str, check
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def arrivals(stream: DataFrame, at: str, late: str = "14 days", window: str = "1 day") -> DataFrame:
+def arrivals(stream: DataFrame, at: str, late: str = "90 days", window: str = "1 day") -> DataFrame:
     """Rows per window of event time; rows later than ``late`` behind the newest are dropped by the watermark."""
     return stream.withWatermark(at, late).groupBy(F.window(at, window).alias("janela")).agg(F.count("*").alias("linhas"))

@@ -147,7 +147,7 @@ def test_indexing_twice_adds_nothing(spark, tmp_path):
     assert index.index_leaflets(spark, df, chunks, docs) == 0
     got = spark.read.parquet(chunks)
     assert rows(got, "chunk_id") == [("a_1_orig_0",), ("a_1_simp_0",), ("a_2_orig_0",), ("a_2_simp_0",)]
-    assert len(got.first()["embedding"]) == 64 and spark.read.parquet(docs).count() == 2
+    assert len(got.first()["embedding"]) == 64 and files.read_table(spark, docs).count() == 2
 
 
 def test_stream(spark, tmp_path):
@@ -177,6 +177,114 @@ def test_settings():
             check_request(*bad)
 
 
+def _layout(root):
+    """A small corpus as files: 7 has all, 9 lacks its simplified text, 8 is only in the map."""
+    (root / ONCO.map_csv).write_text("id,nome\n7,sete\n8,oito\n9,nove\n", encoding="utf-8")
+    tagged = "<metadata>\n<nome_comercial>NA</nome_comercial>\n<doenca>d</doenca>\n</metadata>\n"
+    for folder, names in (
+        (ONCO.original_dir, ("7_original_limpo.txt", "9_original_limpo.txt")), (ONCO.simplified_dir, ("7_simplificada_limpo.txt",)),
+        (ONCO.original_texts, ("7_original_limpo.txt", "9_original_limpo.txt")), (ONCO.simplified_texts, ("7_simplificada_limpo.txt",)),
+    ):
+        (root / folder).mkdir(parents=True, exist_ok=True)
+        for n in names:
+            text = tagged if "metadata" in folder else f" Use Ixium® hoje. {n[0]}\n" if n[0] == "7" else "Nove® não é marca.\n"
+            (root / folder / n).write_text(text, encoding="utf-8")
+
+
+def test_jobs(spark, tmp_path):
+    from leafsift.operators.search import Engine
+    from leafsift.plans import jobs
+
+    _layout(tmp_path)
+    root = str(tmp_path)
+    (tmp_path / ONCO.simplified_dir / "5_simplificada_limpo.txt").write_text("sem texto", encoding="utf-8")
+    made = {r["grupo"]: (r["feitos"], r["faltam"]) for r in jobs.append_texts(spark, root).collect()}
+    assert made[ONCO.original_dir] == (2, []) and made[ONCO.simplified_dir] == (1, ["5_simplificada_limpo.txt"]) and made[HT.original_dir] == (0, [])
+    file = tmp_path / ONCO.original_dir / "7_original_limpo.txt"
+    once = file.read_text(encoding="utf-8")
+    assert once.endswith("</metadata>\n\n<text>\nUse Ixium® hoje. 7\n</text>\n")
+    jobs.append_texts(spark, root)
+    assert file.read_text(encoding="utf-8") == once
+    assert rows(jobs.apply_brands(spark, root), "grupo", "feitos") == [("oncologia", 1)]
+    for f in (file, tmp_path / ONCO.simplified_dir / "7_simplificada_limpo.txt"):
+        assert "<nome_comercial>Ixium</nome_comercial>" in f.read_text(encoding="utf-8")
+    ix = str(tmp_path / "ix")
+    assert Engine.open(spark, ix).lexical_lane("hoje", 2).count() == 0
+    assert jobs.index_corpora(spark, root, ix) == (1, ["oncologia_8", "oncologia_9"])
+    assert jobs.index_corpora(spark, root, ix)[0] == 0
+    e = Engine.open(spark, ix)
+    assert [r["id"] for r in e.lexical_lane("hoje", 2).collect()] == ["oncologia_7"]
+    assert e.semantic_lane("Use Ixium", 1, 0.1).first()["metadata"]["nome_comercial"] == "Ixium"
+    copied = {r["grupo"]: r["feitos"] for r in jobs.copy_headers(spark, root).collect()}
+    assert copied[ONCO.simplified_dir] == 2
+    assert (tmp_path / ONCO.simplified_dir / "9_simplificada_limpo.txt").exists() and not list(tmp_path.rglob(".*_limpo*"))
+
+
+def test_upsert_keeps_the_old_state_until_the_new_one_stands(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    make = lambda rs: spark.createDataFrame(rs, "k long, v string, at int")
+    files.upsert(spark, path, make([(i, "a", 1) for i in range(50)]), "k", "at", buckets=8)
+    before = {p.name for p in (tmp_path / "t").iterdir()}
+    files.upsert(spark, path, make([(3, "b", 2), (4, "alt", 0), (99, "neu", 1)]), "k", "at")
+    got = {r["k"]: r["v"] for r in files.read_table(spark, path).collect()}
+    assert len(got) == 51 and got[3] == "b" and got[4] == "a" and got[99] == "neu"
+    assert len(before & {p.name for p in (tmp_path / "t").iterdir()}) == 1  # untouched buckets stay where they are
+    monkeypatch.setattr(files, "latest_by", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        files.upsert(spark, path, make([(3, "c", 3)]), "k", "at")
+    assert {r["k"]: r["v"] for r in files.read_table(spark, path).collect()} == got
+    assert files.read_table(spark, str(tmp_path / "none")) is None
+
+
+def test_lane_with_synonyms(spark):
+    docs = spark.createDataFrame(
+        [(1, "sinto falta de ar", None), (2, "falta ar de", "x"), (3, None, "dispneia forte"), (4, "falta de", "ar"), (5, None, None)], "k int, a string, b string"
+    )
+    ix = lexical.postings(docs, "k", ["a", "b"], positions=True)
+    q = spark.createDataFrame([("Dispneia",), ("falta de ar",), ("dispneia forte",), ("de o",), (None,)], "q string")
+    got = rows(lexical.search_lane(q, ix, synonyms.default_groups(spark)), "q", "key")
+    assert got == [("Dispneia", 1), ("Dispneia", 3), ("dispneia forte", 3), ("falta de ar", 1), ("falta de ar", 2), ("falta de ar", 3), ("falta de ar", 4)]
+
+
+def test_crop_around_several_words(spark):
+    text = " ".join(f"p{i}" for i in range(60)) + " (falta de ar) " + " ".join(f"r{i}" for i in range(60))
+    got = spark.createDataFrame([(text,)], "t string").select(lexical.crop(F.col("t"), ["falta de ar"], 10).alias("x")).first()["x"]
+    assert got == "p55 p56 p57 p58 p59 (falta de ar) r0 r1"
+
+
+def test_best_sentences(spark):
+    df = spark.createDataFrame([(["a b c", "água com gás"],), ([],), (None,)], "s array<string>")
+    vec = models.HashingEmbedder().encode(["gás"])[0].tolist()
+    got = df.select(models.nearest_sentence(F.col("s"), vec).alias("x"), models.best_sentence_reranked(F.col("s"), "gás").alias("y")).collect()
+    assert got[0]["x"]["texto"] == got[0]["y"]["texto"] == "água com gás" and got[0]["y"]["score"] == 1.0 and got[1]["x"] is None and got[2]["y"] is None
+
+
+def test_models_of_one_scope_are_not_mixed(spark):
+    df = spark.createDataFrame([("a b",)], "t string").repartition(1)
+    for n in (4, 8):
+        assert len(df.select(models.embed(F.col("t"), lambda n=n: models.HashingEmbedder(n)).alias("v")).first()["v"]) == n
+        assert len(df.select(models.embed(F.col("t"), models.Maker("h", models.HashingEmbedder, n)).alias("v")).first()["v"]) == n
+
+
+def test_nearest_of_null_and_short_vectors(spark, monkeypatch):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0]), (5, [1.0, 1.0])], "k long, embedding array<float>")
+    monkeypatch.setattr(vector, "BLOCK_QUERIES", 1)
+    monkeypatch.setattr(vector, "FEW_BLOCKS", 2)  # several rounds
+    got = vector.nearest(df, df, "k", "k", 2)
+    assert rows(got.where("lugar = 1"), "qid", "rid", "score") == [(1, 1, 1.0), (2, 1, 0.0), (3, 1, 0.0), (4, 4, 1.0), (5, 5, 1.0)]
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from leafsift import session
+
+    bare = SimpleNamespace(get=lambda k, d=None: d)
+    sc = SimpleNamespace(getConf=lambda: bare, getCheckpointDir=lambda: None, master="yarn")
+    with pytest.raises(ValueError):
+        session.shared_dir(SimpleNamespace(sparkContext=sc, conf=bare))
+
+
 def test_embedder_is_stable():
     e = models.HashingEmbedder()
     assert np.allclose(e.encode(["a b"]), e.encode(["a b"])) and not e.encode([""]).any()

@@ -46,7 +46,7 @@ def test_answer(engine):
     lex, sem = engine.search("pele", 2, min_score=0.0)
     assert [r["id"] for r in lex.collect()] == ["a_3"]
     answer = json.loads(search.answer_json(sem).first()["resposta"])
-    assert len(answer["id"]) == 2 and answer["id"][0] == "a_3"
+    assert len(answer["ids"]) == 2 and answer["metadatas"][0]["id"] == "a_3" and answer["rerank_scores"] == []
     assert "score 0." in search.lines(sem).orderBy("posicao").first()["linha"]
     with pytest.raises(ValueError):
         engine.search("", 1)
@@ -66,4 +66,4 @@ def test_http(engine):
         assert answer(engine, bad)[0] == 422
     status, body = answer(engine, "/buscar?q=cefaleia&n=2&min_score=0.1")
     assert status == 200 and body["sinonimos"] == ["dor de cabeça"]
-    assert body["lexica"][0]["id"] == "a_2" and body["semantica"]["id"][0] == "a_2"
+    assert body["meili"][0]["id"] == "a_2" and body["chroma"]["metadatas"][0]["id"] == "a_2"
