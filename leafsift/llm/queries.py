@@ -23,13 +23,13 @@ def _ordered(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     top = _ordered(spark, d).select("resp_id", F.get("ordem", F.lit(0))["id"].alias("id"), "recebido_em")
-    return top.groupBy("resp_id").agg(F.max_by("id", "recebido_em").alias("id"))
+    return top.groupBy("resp_id").agg(F.max_by("id", F.struct("recebido_em", "id")).alias("id"))  # one arrival time twice: the greater id
 
 
 def p1_order(spark: SparkSession, d: str) -> DataFrame:
     """The whole combined order of the latest delivery, one row per item."""
     api = _ordered(spark, d).select("resp_id", "ordem", "recebido_em")
-    last = api.groupBy("resp_id").agg(F.max_by("ordem", "recebido_em").alias("ordem"))
+    last = api.groupBy("resp_id").agg(F.max_by("ordem", F.struct("recebido_em", "ordem")).alias("ordem"))
     return last.select("resp_id", F.inline("ordem")).select("resp_id", "id", F.round("pontos", 6).alias("pontos"), "posicao")
 
 
