@@ -21,7 +21,7 @@ What is left to chance is the estimate of step 5 alone. A pair above one half in
 has at least 0.28 in runs of five even if its edits stand as far apart as they can.
 
 Defined results: null, blank, empty and ``NA`` texts, and texts without a word, are in no pair and
-in no group of more than one. Repeated rows of one key count once; of different texts under one key
+in no group of more than one. Rows without a key are left out. Repeated rows of one key count once; of different texts under one key
 the one with the least digest is sketched. Texts shorter than a run are one run. Columns other than key and text are not
 read.
 """
@@ -95,7 +95,7 @@ def _verify(run: int):
 def sketched(df: DataFrame, key: str, text: str, k: int = K) -> DataFrame:
     """(key, fp, sk) of every row with words: the digest of its words and its sketch."""
     ship(df.sparkSession)
-    d = spread(df.select(F.col(key).alias("key"), F.col(text).alias("t")).where(filled(F.col("t"))))
+    d = spread(df.select(F.col(key).alias("key"), F.col(text).alias("t")).where(F.col("key").isNotNull() & filled(F.col("t"))))
     return d.select("key", _sketches(k)("t").alias("s")).select("key", "s.fp", "s.sk").where("fp is not null")
 
 

@@ -311,6 +311,15 @@ def test_candidates_are_those_of_the_sketches(spark):
     assert passed
 
 
+def test_near_duplicates_of_odd_rows(spark):
+    """No key, repeated rows, other texts under one key, columns named like those of the operator."""
+    long = " ".join(f"w{i}" for i in range(200))
+    data = [(None, long, 1, 1), (1, long, 2, 2), (1, long, 2, 2), (2, long + " fim", 3, 3), (3, None, 4, 4), (3, "outra coisa bem curta", 5, 5), (4, "x" * 50_000, 6, 6)]
+    df = spark.createDataFrame(data, "k long, t string, key int, doc int")
+    links, member = near_duplicates.near_duplicate_pairs(df, "k", "t")
+    assert rows(links, "a", "b") == [(1, 2)] and rows(member, "key", "doc") == [(1, 1), (2, 2), (3, 3), (4, 4)]
+
+
 def test_near_duplicates_of_nothing(spark):
     links, member = near_duplicates.near_duplicate_pairs(spark.createDataFrame([], "k long, t string"), "k", "t")
     assert near_duplicates.expand_pairs(links, member).count() == 0
