@@ -128,11 +128,10 @@ def _rare_pairs(post: DataFrame, short: int) -> DataFrame:
     rn = F.row_number().over(Window.partitionBy("h").orderBy("doc"))
     item = F.struct("doc", F.least("c", F.lit(RARE)).alias("need"))
     few = post.withColumn("rn", rn).where(F.col("rn") <= short + 1)
-    lists = few.groupBy("h").agg(F.collect_list(item).alias("l")).where((F.size("l") > 1) & (F.size("l") <= short))
+    lists = few.groupBy("h").agg(F.sort_array(F.collect_list(item)).alias("l")).where((F.size("l") > 1) & (F.size("l") <= short))
     one = lists.select("l", F.posexplode("l").alias("i", "x"))
     two = one.select("x", F.explode(F.slice("l", F.col("i") + 2, F.lit(short))).alias("y"))
-    pair = two.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"))
-    counted = pair.groupBy(F.col("p.doc").alias("a"), F.col("q.doc").alias("b"), F.greatest("p.need", "q.need").alias("need")).count()
+    counted = two.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.greatest("x.need", "y.need").alias("need")).count()
     return counted.where("count >= need").select("a", "b")
 
 
@@ -170,8 +169,8 @@ def _met(docs: np.ndarray, need: np.ndarray, rest: list[np.ndarray], parts: np.n
     sizes = np.fromiter(map(len, rest), np.int64, n)
     flat = np.concatenate(rest) if sizes.any() else np.empty(0, np.int64)
     own = np.repeat(np.arange(n), sizes)
-    order = np.argsort(flat, kind="stable")
-    f, o = flat[order], own[order]
+    both = np.sort(flat.astype(np.int64) << 20 | own)  # by value, then by place; a list has far less than 2**20 members
+    f, o = both >> 20, both & (2**20 - 1)
     edge = np.flatnonzero(np.r_[True, f[1:] != f[:-1]]) if len(f) else np.empty(0, np.int64)
     size = np.diff(np.r_[edge, len(f)])
     several = size > 1
@@ -325,7 +324,7 @@ def verified(df: DataFrame, key: str, text: str, cand: DataFrame, above: float)
     Only texts named by a candidate are read on; of several texts under one key the best pair counts.
     """
     named = staged(cand.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "chaves")
-    texts = df.select(F.col(key).alias("key"), F.col(text).alias("t")).join(small(named), "key", "left_semi").where(filled(F.col("t"))).distinct()
+    texts = df.select(F.col(key).alias("key"), F.col(text).alias("t")).join(small(named), "key", "left_semi").where(filled(F.col("t")))
     texts = staged(texts, "textos")
     pairs = cand.join(texts.select(F.col("key").alias("a"), F.col("t").alias("ta")), "a").join(
         texts.select(F.col("key").alias("b"), F.col("t").alias("tb")), "b"
