@@ -311,6 +311,43 @@ def test_candidates_are_those_of_the_sketches(spark):
     assert passed
 
 
+def test_near_duplicates_in_rounds(spark, monkeypatch):
+    """The lists are met in rounds: all pairs are found, and no step stores more than a share of the lists' entries."""
+    rng = random.Random(5)
+    phrases = [" ".join(f"w{rng.randrange(400)}" for _ in range(7)) for _ in range(30)]
+    data = []
+    for _ in range(40):
+        t = [rng.choice(phrases) for _ in range(12)]
+        data += [(2 * len(data), " ".join(t)), (2 * len(data) + 1, " ".join([*t[:5], rng.choice(phrases), *t[6:]]))]
+    stored, staged = [], near_duplicates.staged
+
+    def counted(df, name="stage"):
+        out = staged(df, name)
+        stored.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(near_duplicates, "staged", counted)
+    df = spark.createDataFrame(data, "k long, t string")
+    links, member = near_duplicates.near_duplicate_pairs(df, "k", "t", short=4, long=12, bucket=500, load=400)
+    assert {tuple(r) for r in near_duplicates.expand_pairs(links, member).select("a", "b").collect()} == _brute_pairs(data)
+    assert max(n for name, n in stored if name == "listas") < 700  # 1,374 if stored at once
+
+
+def test_short_texts_in_long_lists(spark):
+    """Short texts need one common value only; they meet in a list that is split for its other members."""
+    rng = random.Random(6)
+    shared = "a b c d e"
+    phrases = [" ".join(f"w{rng.randrange(400)}" for _ in range(7)) for _ in range(12)]
+    data = [(k, f"{shared} x{k} y{k} z{k}") for k in range(20)]
+    data += [(100 + k, " ".join([shared if k < 10 else f"u{k}", *rng.sample(phrases, 6)])) for k in range(80)]
+    table, _ = near_duplicates.classes(near_duplicates.sketched(spark.createDataFrame(data, "k long, t string"), "k", "t"))
+    sk = {r["doc"]: set(r["sk"]) for r in table.collect()}
+    least = near_duplicates.LEAST
+    want = {(a, b) for a in sk for b in sk if a < b and len(sk[a] & sk[b]) >= math.ceil(least * max(len(sk[a]), len(sk[b])))}
+    got = {tuple(r) for r in near_duplicates.candidates(table.cache(), short=4, long=10, bucket=100).collect()}
+    assert want <= got and (0, 19) in want
+
+
 def test_near_duplicates_of_odd_rows(spark):
     """No key, repeated rows, other texts under one key, columns named like those of the operator."""
     long = " ".join(f"w{i}" for i in range(200))
